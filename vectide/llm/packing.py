@@ -186,13 +186,15 @@ def pack(parts: DataFrame, max_len: int = 2048) -> DataFrame:
     ranked = salted.withColumn("nth", F.row_number().over(within)).join(groups, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1).select(*parts.columns, "rank")
 
+    names = parts.columns
+
     def place(batches):
         keys, bases, offsets = table.value
         for batch in batches:
             rank = batch.column("rank").to_numpy()
             at = np.searchsorted(keys, (batch.column("length").to_numpy() << 44) + rank, side="right") - 1
-            columns = [batch.column(c) for c in parts.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(bases[at] + rank), pa.array(offsets[at])], [*parts.columns, "sequence_id", "offset"])
+            columns = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bases[at] + rank), pa.array(offsets[at])], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)
