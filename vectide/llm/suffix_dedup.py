@@ -117,10 +117,23 @@ def _segments(table: DataFrame, span: int, mean: int) -> DataFrame:
     return table.select("k", "doc_id", "text").mapInArrow(run, "digest binary, k long, doc_id long, lo int, hi int")
 
 
+def _places_by_key(keys: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Each key once, with all its places."""
+    order = np.argsort(keys, kind="stable")
+    keys, at = keys[order], at[order]
+    begin = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1) != 0)
+    return pa.array(keys[begin]), pa.ListArray.from_arrays(pa.array(np.append(begin, len(keys)).astype(np.int32)), pa.array(at))
+
+
 def _anchors(open_docs: DataFrame, span: int, buckets: int) -> DataFrame:
-    """(bucket, k, at, blob) of anchors of open strings. Rows with a blob hold packed (hash, k, position) for the reducers of
-    `bucket`; the others name anchors that a slice of texts by itself shows to occur in several documents."""
+    """(bucket, k, places, blob) of anchors of open strings. Rows with a blob hold packed (hash, k, position) for the reducers
+    of `bucket`; the others name anchors that a slice of texts by itself shows to occur in several documents."""
     width = span - GRAM + 1
+    names = ["bucket", "k", "places", "blob"]
+
+    def by_document(keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        k, places = _places_by_key(keys, at)
+        return pa.RecordBatch.from_arrays([k, k, places, pa.nulls(len(k), pa.binary())], names)
 
     def run(batches):
         for part in text_slices(batches):
@@ -158,8 +171,7 @@ def _anchors(open_docs: DataFrame, span: int, buckets: int) -> DataFrame:
             known = several[group]
             send = ~known | new
             bucket = (code >> np.uint64(32)).astype(np.int64) % buckets
-            none = pa.nulls(int(known.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[known], pa.int32()), pa.array(keys[known]), pa.array(at[known]), none.cast(pa.binary())], ["bucket", "k", "at", "blob"])
+            yield by_document(keys[known], at[known])
             code, keys, at, bucket = code[send], keys[send], at[send], bucket[send]
             order = np.argsort(bucket, kind="stable")
             code, keys, at, bucket = code[order], keys[order], at[order], bucket[order]
@@ -170,13 +182,13 @@ def _anchors(open_docs: DataFrame, span: int, buckets: int) -> DataFrame:
                 head = np.array([b - a, len(docs)], "<i8").tobytes()
                 blobs.append(head + code[a:b].tobytes() + docs.tobytes() + of.astype("<u4").tobytes() + at[a:b].tobytes())
             n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "k", "at", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(blobs, pa.binary())], names)
 
-    return open_docs.mapInArrow(run, "bucket int, k long, at int, blob binary")
+    return open_docs.mapInArrow(run, "bucket long, k long, places array<int>, blob binary")
 
 
 def _shared_anchors(packed: DataFrame) -> DataFrame:
-    """(k, at) of anchors whose 16-gram occurs under several keys. Each task reads whole buckets."""
+    """(k, places) of anchors whose 16-gram occurs under several keys. Each task reads whole buckets."""
 
     def unpack(blob: bytes):
         n, m = np.frombuffer(blob, "<i8", 2).tolist()
@@ -188,12 +200,10 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
     def run(batches):
         held = []
         for batch in batches:
-            for k, at, blob in zip(*(batch.column(c).to_pylist() for c in ("k", "at", "blob"))):
-                if blob is not None:
-                    held.append(unpack(blob))
+            held += [unpack(blob) for blob in batch.column("blob").to_pylist() if blob is not None]
             known = batch.filter(pc.is_valid(batch.column("k")))
             if known.num_rows:
-                yield known.select(["k", "at"])
+                yield known.select(["k", "places"])
         if held:
             code, keys, at = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((keys, code))
@@ -201,9 +211,9 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
             begin = np.flatnonzero(np.diff(code, prepend=code[:1] ^ np.uint64(1)) != 0)
             size = np.diff(np.append(begin, len(code)))
             several = np.repeat(keys[begin] != keys[begin + size - 1], size)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[several]), pa.array(at[several])], ["k", "at"])
+            yield pa.RecordBatch.from_arrays(list(_places_by_key(keys[several], at[several])), ["k", "places"])
 
-    return packed.mapInArrow(run, "k long, at int")
+    return packed.mapInArrow(run, "k long, places array<int>")
 
 
 def _contexts(docs: DataFrame, span: int) -> DataFrame:
@@ -361,17 +371,27 @@ def _solved(items: DataFrame, span: int, most_at_once: int = 20_000) -> DataFram
     """(k, doc_id, lo, hi): bytes to remove. Items of one h are in one task, next to each other."""
 
     def solve(rows):
-        rows.sort(key=lambda r: (r[0], r[6]))
-        out = []
+        # equal bytes around a core are one item under their smallest doc_id; under a larger one all of them are repeats
+        out, best = [], {}
+        for h, _, doc, _, before, after, core in rows:
+            key = (core, h, before, after)
+            best[key] = min(doc, best.get(key, doc))
+        keys = sorted(best, key=lambda key: key[:2])
+        span_of = {}
         for core in (GRAM, 0):
-            some = [r for r in rows if r[6] == core]
+            some = [key for key in keys if key[0] == core]
             if not some:
                 continue
-            group = np.unique(np.array([r[0] for r in some]), return_inverse=True)[1]
-            least, most = repeated_spans(group, np.array([r[2] for r in some]), [r[4] for r in some], [r[5] for r in some], core, span)
-            for i in np.flatnonzero(most >= 0):
-                _, k, doc, at = some[i][:4]
-                out.append((k, doc, at - int(most[i]), at - int(least[i]) + span))
+            group = np.unique(np.array([key[1] for key in some]), return_inverse=True)[1]
+            least, most = repeated_spans(group, np.array([best[key] for key in some]), [key[2] for key in some], [key[3] for key in some], core, span)
+            span_of |= {some[i]: (int(most[i]), int(least[i])) for i in np.flatnonzero(most >= 0)}
+        for h, k, doc, at, before, after, core in rows:
+            key = (core, h, before, after)
+            if doc > best[key]:
+                out.append((k, doc, at - len(before), at + core + len(after)))
+            elif key in span_of:
+                most_, least_ = span_of[key]
+                out.append((k, doc, at - most_, at - least_ + span))
         columns = list(zip(*out)) if out else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["k", "doc_id", "lo", "hi"])
 
@@ -411,7 +431,7 @@ def _found(docs: DataFrame, span: int, id_col: str, text_col: str, hot: int) ->
     by_key = done.groupBy("k").agg(F.collect_list(F.struct("doc_id", "lo", "hi")).alias("done"))
     open_docs = table.select("k", "doc_id", "text").join(by_key, "k", "left")
     packed = _anchors(open_docs, span, 4 * n).repartition(n, "bucket")
-    shared = _shared_anchors(packed).groupBy("k").agg(F.collect_set("at").alias("places"))
+    shared = _shared_anchors(packed).groupBy("k").agg(F.flatten(F.collect_list("places")).alias("places"))
     contexts = materialize(_contexts(table.select("k", "doc_id", "text").join(shared, "k").where("doc_id is not null"), span), "contexts")
 
     counts = materialize(contexts.where("h is not null").groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot")), "hot-grams")
