@@ -117,24 +117,19 @@ def _segments(table: DataFrame, span: int, mean: int) -> DataFrame:
     return table.select("k", "doc_id", "text").mapInArrow(run, "digest binary, k long, doc_id long, lo int, hi int")
 
 
-def _places_by_key(keys: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Each key once, with all its places."""
-    order = np.argsort(keys, kind="stable")
-    keys, at = keys[order], at[order]
-    begin = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1) != 0)
-    return pa.array(keys[begin]), pa.ListArray.from_arrays(pa.array(np.append(begin, len(keys)).astype(np.int32)), pa.array(at))
+def _pack_places(keys: np.ndarray, at: np.ndarray) -> bytes:
+    return keys.astype("<i8").tobytes() + at.astype("<i4").tobytes()
 
 
-def _anchors(open_docs: DataFrame, span: int, buckets: int) -> DataFrame:
-    """(bucket, k, places, blob) of anchors of open strings. Rows with a blob hold packed (hash, k, position) for the reducers
-    of `bucket`; the others name anchors that a slice of texts by itself shows to occur in several documents."""
-    width = span - GRAM + 1
-    names = ["bucket", "k", "places", "blob"]
+def _unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 12
+    return np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<i4", n, 8 * n)
 
-    def by_document(keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        k, places = _places_by_key(keys, at)
-        return pa.RecordBatch.from_arrays([k, k, places, pa.nulls(len(k), pa.binary())], names)
 
+def _anchors(open_docs: DataFrame, span: int, buckets: int) -> DataFrame:
+    """(bucket, known, blob) of anchors of open strings: packed (hash, k, position) for the reducers of `bucket`, or packed
+    (k, position) of anchors that a slice of texts by itself shows to occur in several documents."""
+    width = span - GRAM + 1
     def run(batches):
         for part in text_slices(batches):
             data, offsets = flat_text(part.column("text"))
@@ -171,7 +166,7 @@ def _anchors(open_docs: DataFrame, span: int, buckets: int) -> DataFrame:
             known = several[group]
             send = ~known | new
             bucket = (code >> np.uint64(32)).astype(np.int64) % buckets
-            yield by_document(keys[known], at[known])
+            whole = [(int(bucket[0]), True, _pack_places(keys[known], at[known]))] if known.any() else []
             code, keys, at, bucket = code[send], keys[send], at[send], bucket[send]
             order = np.argsort(bucket, kind="stable")
             code, keys, at, bucket = code[order], keys[order], at[order], bucket[order]
@@ -181,14 +176,15 @@ def _anchors(open_docs: DataFrame, span: int, buckets: int) -> DataFrame:
                 docs, of = np.unique(keys[a:b], return_inverse=True)
                 head = np.array([b - a, len(docs)], "<i8").tobytes()
                 blobs.append(head + code[a:b].tobytes() + docs.tobytes() + of.astype("<u4").tobytes() + at[a:b].tobytes())
-            n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(blobs, pa.binary())], names)
+            out = whole + [(int(bucket[a]), False, blob) for a, blob in zip(cuts, blobs)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.binary()))], ["bucket", "known", "blob"])
 
-    return open_docs.mapInArrow(run, "bucket long, k long, places array<int>, blob binary")
+    return open_docs.mapInArrow(run, "bucket long, known boolean, blob binary")
 
 
-def _shared_anchors(packed: DataFrame) -> DataFrame:
-    """(k, places) of anchors whose 16-gram occurs under several keys. Each task reads whole buckets."""
+def _shared_anchors(packed: DataFrame, n: int) -> DataFrame:
+    """(k, places) of anchors whose 16-gram occurs under several keys. Each task reads whole buckets and deals what it
+    finds to `n` groups of keys, packed, so that the rows in between follow the tasks and not the documents."""
 
     def unpack(blob: bytes):
         n, m = np.frombuffer(blob, "<i8", 2).tolist()
@@ -197,13 +193,14 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
         of = np.frombuffer(blob, "<u4", n, 16 + 8 * (n + m))
         return code, docs[of], np.frombuffer(blob, "<i4", n, 16 + 8 * (n + m) + 4 * n)
 
-    def run(batches):
-        held = []
+    def find(batches):
+        held, found = [], []
         for batch in batches:
-            held += [unpack(blob) for blob in batch.column("blob").to_pylist() if blob is not None]
-            known = batch.filter(pc.is_valid(batch.column("k")))
-            if known.num_rows:
-                yield known.select(["k", "places"])
+            for known, blob in zip(batch.column("known").to_pylist(), batch.column("blob").to_pylist()):
+                if known:
+                    found.append(_unpack_places(blob))
+                else:
+                    held.append(unpack(blob))
         if held:
             code, keys, at = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((keys, code))
@@ -211,9 +208,31 @@ def _shared_anchors(packed: DataFrame) -> DataFrame:
             begin = np.flatnonzero(np.diff(code, prepend=code[:1] ^ np.uint64(1)) != 0)
             size = np.diff(np.append(begin, len(code)))
             several = np.repeat(keys[begin] != keys[begin + size - 1], size)
-            yield pa.RecordBatch.from_arrays(list(_places_by_key(keys[several], at[several])), ["k", "places"])
-
-    return packed.mapInArrow(run, "k long, places array<int>")
+            found.append((keys[several], at[several]))
+        if found:
+            keys, at = (np.concatenate(x) for x in zip(*found))
+            group = (keys.view(np.uint64) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            group, keys, at = group[order], keys[order], at[order]
+            cuts = np.flatnonzero(np.diff(group, prepend=-1))
+            blobs = [_pack_places(keys[a:b], at[a:b]) for a, b in zip(cuts, [*cuts[1:], len(group)])]
+            yield pa.RecordBatch.from_arrays([pa.array(group[cuts]), pa.array(blobs, pa.binary())], ["grp", "blob"])
+
+    def gather(batches):
+        found = [_unpack_places(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
+        if found:
+            keys, at = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
+            begin = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1) != 0)
+            for lo in range(0, len(begin), 10_000):
+                some = begin[lo : lo + 10_000]
+                end = begin[lo + 10_000] if lo + 10_000 < len(begin) else len(keys)
+                places = pa.ListArray.from_arrays(pa.array((np.append(some, end) - some[0]).astype(np.int32)), pa.array(at[some[0] : end]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), places], ["k", "places"])
+
+    grouped = packed.mapInArrow(find, "grp long, blob binary").repartition(n, "grp")
+    return grouped.mapInArrow(gather, "k long, places array<int>")
 
 
 def _contexts(docs: DataFrame, span: int) -> DataFrame:
@@ -431,7 +450,7 @@ def _found(docs: DataFrame, span: int, id_col: str, text_col: str, hot: int) ->
     by_key = done.groupBy("k").agg(F.collect_list(F.struct("doc_id", "lo", "hi")).alias("done"))
     open_docs = table.select("k", "doc_id", "text").join(by_key, "k", "left")
     packed = _anchors(open_docs, span, 4 * n).repartition(n, "bucket")
-    shared = _shared_anchors(packed).groupBy("k").agg(F.flatten(F.collect_list("places")).alias("places"))
+    shared = _shared_anchors(packed, n)
     contexts = materialize(_contexts(table.select("k", "doc_id", "text").join(shared, "k").where("doc_id is not null"), span), "contexts")
 
     counts = materialize(contexts.where("h is not null").groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot")), "hot-grams")
