@@ -22,13 +22,15 @@ def bucket_of(word: Column, size: int) -> Column:
 
 
 def encode(rows: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
-    """(id, embedding array<double>): unit vector of hashed word counts; a text without words is a zero vector."""
-    per_word = F.transform(words(F.col(text_col)), lambda w: bucket_of(w, size))
-    counted = rows.select(F.col(id_col).alias("id"), per_word.alias("b"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("b", lambda b: b == i)).cast("double"))
-    vector = counted.select("id", counts.alias("c"))
-    length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
-    return vector.withColumn("n", length).select("id", F.when(F.col("n") > 0, F.transform("c", lambda x: x / F.col("n"))).otherwise(F.col("c")).alias("embedding"))
+    """(id, embedding array<double>): unit vector of hashed word counts; a text without words is a zero vector. Rows
+    that share an id count as one text. Counts are combined before they are shuffled: at most `size` rows a text."""
+    hashed = F.transform(words(F.col(text_col)), lambda w: bucket_of(w, size))
+    exploded = rows.select(F.col(id_col).alias("id"), F.explode_outer(hashed).alias("b"))
+    counted = exploded.groupBy("id", "b").agg(F.count("b").cast("double").alias("c"))
+    entries = F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "c")))
+    gathered = counted.groupBy("id").agg(F.map_from_entries(entries).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
+    share = lambda i: F.coalesce(F.when(F.col("n") > 0, F.try_element_at("m", i) / F.col("n")), F.lit(0.0))
+    return gathered.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), share).alias("embedding"))
 
 
 def references(texts: Column) -> Column:
