@@ -73,7 +73,7 @@ def fit(labelled: DataFrame, train_rows: int = 12_000, features: int = 12_000, b
     a document. Its log-count ratio is r = log((p + alpha) / |p|) - log((q + alpha) / |q|) with p and q its numbers of
     toxic and other documents; the `features` n-grams that tell most (ratio by the square root of the count) are scaled
     by r and weighed by logistic regression in which both labels weigh the same. Rows without text or label are left out. Without rows of both labels there
-    are no weights and the intercept is the log odds of the one label seen (0 if there is none).
+    are no weights and the intercept leans to the one label seen; with no labels at all nothing counts as toxic.
     """
     usable = labelled.where("text is not null and label is not null")
     half = train_rows // 2
@@ -82,7 +82,7 @@ def fit(labelled: DataFrame, train_rows: int = 12_000, features: int = 12_000, b
     seen = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     weights = np.zeros(buckets, np.float32)
     if len(seen) < 2:
-        return Model(weights, 5.0 if 1.0 in seen else -5.0 if seen else 0.0, sizes)
+        return Model(weights, 5.0 if 1.0 in seen else -5.0, sizes)
 
     def count(batches):
         toxic, other = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
