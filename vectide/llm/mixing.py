@@ -84,9 +84,9 @@ def mixed_documents(docs: DataFrame, seed: int = 7, weights=WEIGHTS, most: int =
     counted = counted.where("copies > 0").withColumn("__nth", F.row_number().over(within))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     numbered = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.lit(0))))
-    counted = counted.select("doc_id", "source", F.col("size").alias("__size"), "__nth", "copies")
+    counted = counted.select("doc_id", "source", F.col("size").alias("__size"), "__nth", F.col("copies").alias("__copies"))
     taken = null_safe_join(numbered, counted, ["doc_id", "source", "__size", "__nth"])
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 ORACLE = """

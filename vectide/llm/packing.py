@@ -179,19 +179,19 @@ def pack(parts: DataFrame, max_len: int = 2048) -> DataFrame:
     order = np.argsort(keys)
     table = spark.sparkContext.broadcast(tuple(np.array(x, np.int64)[order] for x in (keys, bases, offsets)))
 
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("nth", F.row_number().over(within)).join(groups, ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth") - 1).select(*parts.columns, "rank")
+    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    groups = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n")).select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")
+    ranked = salted.withColumn("__nth", F.row_number().over(within)).join(groups, ["length", "__salt"])
+    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__nth") - 1).select(*parts.columns, "__rank")
 
     names = parts.columns
 
     def place(batches):
         keys, bases, offsets = table.value
         for batch in batches:
-            rank = batch.column("rank").to_numpy()
+            rank = batch.column("__rank").to_numpy()
             at = np.searchsorted(keys, (batch.column("length").to_numpy() << 44) + rank, side="right") - 1
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(bases[at] + rank), pa.array(offsets[at])], [*names, "sequence_id", "offset"])
