@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -142,18 +143,13 @@ def word_starts(classes: np.ndarray, width: int = 256) -> np.ndarray:
 class Merger:
     """The lazily determinised merge transducer of one vocabulary."""
 
-    def __init__(self, spec: dict, max_states: int = 130_000):
-        self.vocab, self.max_states = spec["vocab"], max_states
-        self.merges = {pair: rank for pair, (rank, _) in spec["merges"].items()}
+    def __init__(self, spec: dict, max_states: int = 60_000):
+        self.vocab, self.max_states, self.merges = spec["vocab"], max_states, spec["merges"]
         self.made = {i: (rank, *pair) for pair, (rank, i) in reversed(spec["merges"].items())}  # the first merge that makes it
-        self.longer: dict[bytes, list[int]] = {}  # tokens by each of their proper beginnings
-        for t, i in self.vocab.items():
-            for n in range(1, len(t)):
-                self.longer.setdefault(t[:n], []).append(i)
+        self.sorted = sorted(self.vocab)  # tokens with one beginning lie together
         self.length = np.zeros(max(self.vocab.values()) + 1, np.int32)
         for t, i in self.vocab.items():
             self.length[i] = len(t)
-        self.fits = lru_cache(400_000)(self._fits)
         self._clear()
 
     def _clear(self) -> None:
@@ -178,7 +174,7 @@ class Merger:
             self.last[s] = key[1][-1][0]
         return s
 
-    def _fits(self, a: int, b: int) -> bool:
+    def fits(self, a: int, b: int) -> bool:
         """Whether the merges leave tokens a and b side by side.
 
         Undo the merges that made them, latest first, and look at the two pieces that face each other: had a merge of
@@ -187,7 +183,7 @@ class Merger:
         before = 1 << 30
         while True:
             joined = self.merges.get((a, b))
-            if joined is not None and joined < before:
+            if joined is not None and joined[0] < before:
                 return False
             made_a, made_b = self.made.get(a), self.made.get(b)
             if made_a is None and made_b is None:
@@ -202,11 +198,13 @@ class Merger:
         key = (last, begun)
         if key in self.same:
             return self.same[key]
-        longer = self.longer.get(begun, ())
+        lo = bisect_left(self.sorted, begun)
+        lo += lo < len(self.sorted) and self.sorted[lo] == begun
+        longer = list(takewhile(lambda t: t.startswith(begun), self.sorted[lo : lo + 41]))
         if len(longer) > 40:
             found = last
         else:
-            able = tuple(t for t in longer if last < 0 or self.fits(last, t))
+            able = tuple(i for i in map(self.vocab.get, longer) if last < 0 or self.fits(last, i))
             found = self.stand.setdefault((begun, able), last) if able else None
         self.same[key] = found
         return found
