@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 from math import comb
 
@@ -16,22 +17,36 @@ from vectide.llm.common import components, flat_text, forest, materialize, text_
 BITS = 64
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """SimHash of one text: a bit is set where over half of the shingles' XXH64 have it; no words: 0."""
+def _digests(text: bytes, shingle: int, seed: int) -> bytes:
+    """XXH64 of each shingle, eight bytes each; fewer words than a shingle are one shingle, no words none."""
     words = text.lower().split()  # bytes: lower-cases A-Z only, splits at ASCII white space only
     n = len(words) - shingle + 1
-    if n < 1:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed) if words else 0
     line = b" ".join(words)
+    if n < 1:
+        return xxhash.xxh64_digest(line, seed) if words else b""
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     starts = [0, *ends[: n - 1]]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :])])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(n, BITS)
-    ones = np.add.reduce(bits, axis=0, dtype=np.int32)
+    return b"".join([digest(line[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :])])
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bits that over half of the 8-byte hashes have."""
+    n = len(hashes) // 8
+    ones = np.add.reduce(np.unpackbits(hashes).reshape(n, BITS), axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """SimHash of one text: a bit is set where over half of the shingles' XXH64 have it; no words: 0."""
+    return _majority(np.frombuffer(_digests(text, shingle, seed), np.uint8))
+
+
+def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct shingles of one text as sorted hashes."""
+    return np.unique(np.frombuffer(_digests(text, shingle, seed), ">u8").astype(np.uint64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) of every whole text; null texts count as empty. One narrow pass."""
 
@@ -147,11 +162,201 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: i
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each group of near-duplicates the one with the smallest id (one row of it if it
-    repeats). Columns are those of `docs`."""
-    groups = simhash_groups(docs, distance, id_col=id_col, text_col=text_col)
+def _firsts(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` whose id is the component_id of their group in `groups`, one row of each."""
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
     same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
     return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
+
+
+def near_dedup(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: of each group of near-duplicates the one with the smallest id (one row of it if it
+    repeats). Columns are those of `docs`."""
+    return _firsts(docs, simhash_groups(docs, distance, id_col=id_col, text_col=text_col), id_col, text_col)
+
+
+def _common_shingles(docs: DataFrame, shingle: int, seed: int, texts: int = 20_000, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingle hashes, texts that hold each) of shingles that `least` of about `texts` sampled texts share.
+
+    Only the order in which prefixes are taken depends on them, never which pairs are found.
+    """
+    rate = int((1 << 30) * min(1.0, texts / max(1, docs.count())))
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate).select("text").distinct()
+
+    def run(batches):
+        for part in text_slices(batches):
+            data, offsets = flat_text(part.column("text"))
+            raw, bounds = data.tobytes(), offsets.tolist()
+            found = [shingle_set(raw[a:b], shingle, seed) for a, b in zip(bounds, bounds[1:])]
+            one, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    counted = sample.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    token = counted["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], counted["n"].to_numpy(np.int64)[order]
+
+
+def _sketches(docs: DataFrame, shingle: int, seed: int, share: Fraction) -> DataFrame:
+    """(doc_id, node, fp, n, prefix) of every row of (doc_id, text): a hash of its shingle set, the set's SimHash and
+    size, and the shingles of which two texts of similarity `share` have one in common."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle, seed))
+
+    def run(batches):
+        common, texts = shared.value
+        for part in text_slices(batches):
+            data, offsets = flat_text(part.column("text"))
+            raw, bounds = data.tobytes(), offsets.tolist()
+            node, fp, size, prefix = [], [], [], []
+            for a, b in zip(bounds, bounds[1:]):
+                s = shingle_set(raw[a:b], shingle, seed)
+                n = len(s)
+                node.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
+                fp.append(_majority(s.astype(">u8").view(np.uint8)))
+                size.append(n)
+                if len(common):  # rare shingles first, so that few texts meet
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, texts[at], 0), kind="stable")]
+                prefix.append(s[: n - -(-share.numerator * n // share.denominator) + 1 if n else 0].tobytes())
+            cols = [part.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "fp", "n", "prefix"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, prefix binary")
+
+
+def _prefix_pairs(nodes: DataFrame, share: Fraction) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, root, n, prefix) with different roots that may reach `share`; none that does is left out.
+
+    Two sets of that similarity share a shingle of their prefixes, their sizes allow for it, and so does what follows
+    the first shared shingle.
+    """
+    p, q = share.numerator, share.denominator
+
+    def spread(batches):
+        for batch in batches:
+            raw = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
+            size = np.array([len(x) for x in raw], np.int64)
+            cols = [np.repeat(batch.column(c).to_numpy(), size) for c in ("node", "root", "n")]
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            token = np.concatenate(raw) if raw else np.zeros(0, np.int64)
+            for lo in range(0, len(token), 1 << 17):
+                cut = slice(lo, lo + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(token[cut]), *[pa.array(c[cut]) for c in cols], pa.array(pos[cut].astype(np.int32))], ["token", "node", "root", "n", "pos"])
+
+    tokens = nodes.select("node", "root", "n", "prefix").mapInArrow(spread, "token long, node long, root long, n int, pos int")
+
+    def run(batches):
+        held: list[np.ndarray] = []
+
+        def fits(x, y, root, n, pos):
+            nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
+            left = np.minimum(nx - pos[x], ny - pos[y])
+            return (root[x] != root[y]) & (q * np.minimum(nx, ny) >= p * np.maximum(nx, ny)) & ((p + q) * left >= p * (nx + ny))
+
+        def solve(cols):
+            token, node, root, n, pos = cols
+            edge = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
+            size = np.diff(np.append(edge, len(token)))
+            small = np.repeat(size <= 96, size)
+            found = []
+            for gap in range(1, int(size[size <= 96].max(initial=0))):
+                x = np.flatnonzero((token[:-gap] == token[gap:]) & small[gap:])
+                x = x[fits(x, x + gap, root, n, pos)]
+                found.append((node[x], node[x + gap]))
+            for at, k in zip(edge[size > 96].tolist(), size[size > 96].tolist()):
+                if (root[at : at + k] == root[at]).all():
+                    continue
+                s = at + np.argsort(n[at : at + k], kind="stable")  # by size: only the next ones up to 1 / share are compared
+                until = np.searchsorted(n[s].astype(np.int64) * p, n[s].astype(np.int64) * q, side="right")
+                for c in range(0, k, 256):
+                    rows, others = s[c : c + 256], s[c : until[min(c + 256, k) - 1]]
+                    i, j = np.nonzero(np.arange(len(rows))[:, None] < np.arange(len(others)))
+                    x, y = rows[i], others[j]
+                    ok = fits(x, y, root, n, pos)
+                    found.append((node[x[ok]], node[y[ok]]))
+            a = np.concatenate([f[0] for f in found] or [node[:0]])
+            b = np.concatenate([f[1] for f in found] or [node[:0]])
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("token", "node", "root", "n", "pos")]
+            if held:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last token may go on in the next batch
+            if last:
+                yield solve([c[:last] for c in cols])
+            held = [c[last:] for c in cols]
+        if held:
+            yield solve(held)
+
+    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, seed: int, share: Fraction, name: str) -> DataFrame:
+    """Those of `pairs` (a, b) whose whole shingle sets have a Jaccard similarity of at least `share`."""
+    pairs = materialize(pairs, f"{name}-candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("id").alias("at")), f"{name}-ends")
+
+    def sets(batches):
+        for part in text_slices(batches):
+            data, offsets = flat_text(part.column("text"))
+            raw, bounds = data.tobytes(), offsets.tolist()
+            found = [shingle_set(raw[a:b], shingle, seed).tobytes() for a, b in zip(bounds, bounds[1:])]
+            node = np.array([xxhash.xxh64_intdigest(s, seed) for s in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    at = ends.select("at").distinct()
+    texts = docs.join(at, docs["doc_id"].cast("long").eqNullSafe(at["at"]), "left_semi").select("text")
+    held = texts.mapInArrow(sets, "node long, shingles binary").join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    held = materialize(held, f"{name}-sets")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("x", "y"))
+            both = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)], np.int64)
+            total = np.array([len(s) + len(t) for s, t in zip(x, y)], np.int64)
+            ok = pa.array((share.numerator + share.denominator) * both >= share.numerator * total)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row of `docs`.
+
+    Documents link when the Jaccard similarity of their sets of `shingle` words is at least `similarity`, counted on the
+    whole sets; component_id is the smallest doc_id reachable. SimHash blocks propose the close copies first, so that
+    large groups are one before the rest is compared; what differs in more bits comes from a join on shingle prefixes,
+    which leaves out no pair of that similarity. Equal sets are one node; texts without words are equal.
+    """
+    share = Fraction(str(similarity))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = materialize(_sketches(docs, shingle, seed, share), "sketches")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").cast("long").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = materialize(nodes, "distinct-sets")
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first-of-fingerprint")
+    near = close_links(first.select("fp", F.col("fp").alias("id")), distance)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _verified(near, nodes, docs, shingle, seed, share, "near")
+    roots = materialize(components(links, "near"), "near-roots").withColumnRenamed("component", "root")
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = links.union(_verified(_prefix_pairs(rooted, share), nodes, docs, shingle, seed, share, "similar"))
+    joined = components(links, "similar")
+    classes = nodes.select("node", "id").join(joined, "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
+    classes = materialize(classes.join(smallest, "root").select("node", "component_id"), "similar-classes")
+    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+
+
+def similar_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: of each group of similar_groups the one with the smallest id (one row of it if it
+    repeats). Columns are those of `docs`."""
+    return _firsts(docs, similar_groups(docs, similarity, shingle, id_col=id_col, text_col=text_col), id_col, text_col)
