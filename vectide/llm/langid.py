@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.llm.common import flat_text, materialize, text_slices
@@ -69,8 +69,8 @@ def _slices(batches, rows: int = 256):
 def train(docs: DataFrame, per_language: int = 400, clusters: int = 3, reject: float = 0.01, buckets: int = BUCKETS) -> Centroids:
     """Centroids from rows (text, lang); rows without text or language are left out.
 
-    Document frequencies cover all rows. The centroids of a language come from k-means (cosine) on at most
-    `per_language` of its rows, chosen by hash, inside one task a language. A text is rejected if its best cosine lies
+    Document frequencies cover all rows. The centroids of a language come from k-means (cosine) on
+    `per_language` of its distinct texts, chosen by hash, or all if they are fewer, inside one task a language. A text is rejected if its best cosine lies
     below the `reject` quantile of the training sample's. No rows give no centroids.
     """
     usable = docs.where("text is not null and lang is not null").select("text", "lang")
@@ -89,14 +89,18 @@ def train(docs: DataFrame, per_language: int = 400, clusters: int = 3, reject: f
         return Centroids(np.zeros(buckets), np.zeros((0, buckets), np.float32), [], 0.0)
     idf = np.log((1 + seen[-1]) / (1 + np.array([seen.get(b, 0) for b in range(buckets)]))) + 1
 
-    # a share of each language's rows by hash, so that about 3 * per_language of them come together, whatever its size
-    hashed = usable.withColumn("at", F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    counts = usable.groupBy("lang").count()  # one row a language
-    sample = hashed.join(F.broadcast(counts), "lang").where(F.col("at") < F.lit(3.0 * per_language) / F.col("count"))
-    sample = materialize(sample.dropDuplicates(["lang", "at"]).select("lang", "text", "at"), "language-sample")
+    # the smallest hashes of each language's distinct texts, first by salt, so that no task has to order a whole language
+    hashed = usable.withColumn("hash", F.xxhash64(F.lit(17), "text")).withColumn("at", F.pmod("hash", F.lit(1 << 30)))
+    distinct = hashed.select("lang", "hash", "at").distinct().withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(64)))
+    for by in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("at", "hash"))
+        distinct = distinct.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    chosen = materialize(distinct.select("lang", "hash"), "language-hashes")  # per_language rows a language
+    sample = hashed.join(F.broadcast(chosen), ["lang", "hash"]).dropDuplicates(["lang", "hash"])
+    sample = materialize(sample.select("lang", "text", "at", "hash"), "language-sample")
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("text").sort_values("at").head(per_language)
+        frame = frame.sort_values(["at", "hash"])
         x = np.concatenate([tfidf(gram_counts(pa.array(frame["text"].iloc[i : i + 256]), buckets), idf) for i in range(0, len(frame), 256)])
         rng = np.random.default_rng(3)
         k = min(clusters, len(x))
