@@ -625,8 +625,8 @@ def event_sessions(spark, d):
 
 @query("kmeans")
 def kmeans(spark, d):
-    """Centroids of ten clusters after eight rounds."""
-    c, _ = clustering.kmeans(rows(spark, d), 10, 8)
+    """Centroids of ten clusters of all vectors after eight rounds."""
+    c, _ = clustering.kmeans(rows(spark, d), 10, 8, per_cluster=None)
     return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "list_no int, embedding array<double>")
 
 

@@ -22,10 +22,10 @@ def _split_empty(c: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> None
         n[donor] -= n[e]
 
 
-def kmeans(rows: DataFrame, k: int, rounds: int = 25, redo: int = 1, seed: int = 1234, spherical: bool = False, whole: bool = False, per_cluster: int = 256, weight_col: str | None = None) -> tuple[np.ndarray, list[float]]:
+def kmeans(rows: DataFrame, k: int, rounds: int = 25, redo: int = 1, seed: int = 1234, spherical: bool = False, whole: bool = False, per_cluster: int | None = 256, weight_col: str | None = None) -> tuple[np.ndarray, list[float]]:
     """(centroids k x d, objective by round) of rows (vec_id, embedding[, weight]).
 
-    Trains on all rows, or on about k * per_cluster of them by hash if there are more; starts from k rows drawn by hash.
+    Trains on all rows, or on about k * per_cluster of them by hash if there are more (None: always on all); starts from k rows drawn by hash.
     Every round is one job that returns k sums a task. The objective is the sum of squared distances before the update;
     of several runs the one with the least is kept. Raises if a component is not finite or rows are fewer than k.
     """
@@ -36,7 +36,7 @@ def kmeans(rows: DataFrame, k: int, rounds: int = 25, redo: int = 1, seed: int =
         raise ValueError(f"{bad} rows hold components that are not finite")
     if total < k:
         raise ValueError(f"{total} rows are fewer than {k} clusters")
-    if total > k * per_cluster:
+    if per_cluster is not None and total > k * per_cluster:
         used = used.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * k * per_cluster / total))
     used = used.persist()
     best: tuple[float, np.ndarray, list[float]] | None = None
