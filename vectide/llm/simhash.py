@@ -177,7 +177,8 @@ def near_dedup(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_
 
 
 def _common_shingles(docs: DataFrame, shingle: int, seed: int, texts: int = 20_000, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingle hashes, texts that hold each) of shingles that `least` of about `texts` sampled texts share.
+    """(sorted shingle hashes, texts that hold each) of shingles that `least` of about `texts` sampled texts share,
+    counted where a slice of texts has them at least twice.
 
     Only the order in which prefixes are taken depends on them, never which pairs are found.
     """
@@ -190,6 +191,7 @@ def _common_shingles(docs: DataFrame, shingle: int, seed: int, texts: int = 20_0
             raw, bounds = data.tobytes(), offsets.tolist()
             found = [shingle_set(raw[a:b], shingle, seed) for a, b in zip(bounds, bounds[1:])]
             one, n = np.unique(np.concatenate(found), return_counts=True)
+            one, n = one[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], ["token", "n"])
 
     counted = sample.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
