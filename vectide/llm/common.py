@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,15 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back (as `schema`, if given): lineage ends there, and a lost executor
+    costs nothing.
 
     Unlike a checkpoint the result carries no partitioning, so joins on it stay open to AQE's skew handling.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vectide/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def hash_sample(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The `n` rows with the smallest hashes of `keys` (all if fewer; ties by key).
+
+    A threshold on the hash, taken from the number of rows, first leaves about 1.5 n of them, so that the one task that
+    orders them reads little however large the table. Meant for keys that hardly repeat.
+    """
+    total = rows.count()
+    hash_ = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    if total > 2 * n:
+        rows = rows.where(hash_ < int((1.5 * n + 100) / total * (1 << 40)))
+    return rows.orderBy(hash_, *keys).limit(n)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
