@@ -80,6 +80,22 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """Lloyd's algorithm on a bounded sample; empty cells move to the points farthest from theirs."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        d = (c**2).sum(1) - 2 * x @ c.T
+        cell = d.argmin(1)
+        n = np.bincount(cell, minlength=len(c))
+        for j in range(x.shape[1]):
+            c[:, j] = np.where(n > 0, np.bincount(cell, weights=x[:, j], minlength=len(c)) / np.maximum(n, 1), c[:, j])
+        if (n == 0).any():
+            far = np.argsort(-(d[np.arange(len(x)), cell] + (x**2).sum(1)))[: (n == 0).sum()]
+            c[np.flatnonzero(n == 0)[: len(far)]] = x[far]
+    return c
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the graph with edges a-b: every node but the smallest of its component, with that smallest.
 

@@ -7,23 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import components, forest, materialize
-
-
-def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    """Lloyd's algorithm on a bounded sample; empty cells move to the points farthest from theirs."""
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(rounds):
-        d = (c**2).sum(1) - 2 * x @ c.T
-        cell = d.argmin(1)
-        n = np.bincount(cell, minlength=len(c))
-        for j in range(x.shape[1]):
-            c[:, j] = np.where(n > 0, np.bincount(cell, weights=x[:, j], minlength=len(c)) / np.maximum(n, 1), c[:, j])
-        if (n == 0).any():
-            far = np.argsort(-(d[np.arange(len(x)), cell] + (x**2).sum(1)))[: (n == 0).sum()]
-            c[np.flatnonzero(n == 0)[: len(far)]] = x[far]
-    return c
+from vectide.llm.common import components, forest, hash_sample, kmeans, materialize
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -46,9 +30,11 @@ def near_duplicates(
     and `subspaces` codebooks of 256 residual codes. Every vector is coded and stored in its nearest list with its exact
     coding error. A query probes each list whose boundary is within `slack` times the largest distance of a linked pair;
     slack = 1 makes probing exact, 0.5 misses a pair only if its difference points at a boundary about four times as
-    much as a random direction would in 64 dimensions. In a list, table-lookup distances keep what may be within the
-    threshold given the coding error, and the exact cosine in double precision decides. Lists of more than `tile` rows
-    are cut in chunks, so that no list has to fit in one task; a task reports counts and a spanning forest, not pairs.
+    much as a random direction would in 64 dimensions, from both of its ends. In a list, table-lookup distances keep what
+    may be within the threshold given the coding error, and the exact cosine in double precision decides. A pair that
+    both ends could find is taken where its smaller class asks, one that only one end finds there; either way both ends
+    count it. Lists of more than `tile` rows are cut in chunks, so that no list has to fit in one task; a task reports
+    counts and a spanning forest, not pairs. Above `max_lists` * `list_size` vectors lists get longer instead of more.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col)
@@ -60,33 +46,38 @@ def near_duplicates(
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not total:
         return alone
-    sample = classes.orderBy(F.xxhash64("v")).limit(train_rows).select("v").toPandas()["v"]
+    sample = hash_sample(classes.select("v"), ["v"], train_rows).toPandas()["v"]
     dim = int(np.bincount([len(v) for v in sample]).argmax())
     train = np.array([v for v in sample if len(v) == dim], np.float64)
     train = train / np.abs(train).max(1, keepdims=True)
     train = train / np.linalg.norm(train, axis=1, keepdims=True)
     lists = int(min(max_lists, max(1, len(train) // 4), max(1, -(-total // list_size))))
-    coarse = _kmeans(train, lists, 8, seed)
+    coarse = kmeans(train, lists, 8, seed)
     home = ((coarse**2).sum(1) - 2 * train @ coarse.T).argmin(1)
     residual = train - coarse[home]
     edges = np.linspace(0, dim, min(subspaces, dim) + 1).astype(int)
-    books = [_kmeans(residual[:, a:b], 256, 6, seed) for a, b in zip(edges, edges[1:])]
+    books = [kmeans(residual[:, a:b], 256, 6, seed) for a, b in zip(edges, edges[1:])]
     reach = float(np.sqrt(2 - 2 * threshold))
     shared = spark.sparkContext.broadcast((coarse, books, edges))  # at most max_lists centroids and 256 codes a subspace
 
+    def probes(d_home: np.ndarray, d_list: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Whether vectors at these squared distances from their home's and another list's centroid ask that list; `gap`
+        is the squared distance of the two centroids."""
+        return (gap < 1e-12) | (d_list - d_home <= 2 * slack * reach * np.sqrt(np.maximum(gap, 0)))
+
     def index(batches):
         coarse, books, edges = shared.value
-        between = np.sqrt(np.maximum((coarse**2).sum(1)[:, None] + (coarse**2).sum(1) - 2 * coarse @ coarse.T, 1e-12))
         for batch in batches:
             fits = np.diff(batch.column("v").offsets.to_numpy()) == dim
             batch = batch.filter(pa.array(fits))
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 u = _unit(part.column("v"))
-                d = np.maximum((u**2).sum(1)[:, None] + (coarse**2).sum(1) - 2 * u @ coarse.T, 0)
+                squares = (coarse**2).sum(1)
+                d = np.maximum((u**2).sum(1)[:, None] + squares - 2 * u @ coarse.T, 0)
                 home = d.argmin(1)
-                nearest = d[np.arange(len(u)), home]
-                probe = (d - nearest[:, None]) / (2 * between[home]) <= slack * reach
+                gap = squares[home][:, None] + squares - 2 * coarse[home] @ coarse.T
+                probe = probes(d[np.arange(len(u)), home][:, None], d, gap)
                 probe[np.arange(len(u)), home] = True
                 left = u - coarse[home]
                 codes = np.empty((len(u), len(books)), np.uint8)
@@ -97,25 +88,23 @@ def near_duplicates(
                     codes[:, m] = e.argmin(1)
                     error += np.maximum(e.min(1), 0)
                 row, to = np.nonzero(probe)
-                row, to = np.concatenate([np.arange(len(u)), row]), np.concatenate([home, to])
-                is_query = np.arange(len(row)) >= len(u)
-                flat = pa.array(u.ravel())
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * dim), flat)
+                asked = pa.array(row)
                 code = pa.array([c.tobytes() for c in codes])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to.astype(np.int32)), pa.array(is_query), part.column("cls").take(pa.array(row)), part.column("n").take(pa.array(row)), vectors.take(pa.array(row)), pa.array(np.sqrt(error)[row]), code.take(pa.array(row))],
-                    ["list", "is_query", "cls", "n", "u", "err", "code"],
-                )
+                told = [pa.array(home.astype(np.int32)), part.column("cls"), part.column("n"), part.column("v"), pa.array(np.sqrt(error))]
+                names = ["list", "is_query", "home", "cls", "n", "v", "err", "code"]
+                yield pa.RecordBatch.from_arrays([told[0], pa.array(np.zeros(len(u), bool)), *told, code], names)
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.ones(len(row), bool)), *[c.take(asked) for c in told], pa.nulls(len(row), pa.binary())], names)
 
-    stored = materialize(classes.select("cls", "n", "v").mapInArrow(index, "list int, is_query boolean, cls long, n long, u array<double>, err double, code binary"), "pq-index")
+    kind = classes.schema["v"].dataType.simpleString()
+    stored = materialize(classes.select("cls", "n", "v").mapInArrow(index, f"list int, is_query boolean, home int, cls long, n long, v {kind}, err double, code binary"), "pq-index")
     counts = stored.groupBy("list").agg(F.count(F.when(~F.col("is_query"), 1)).alias("members"), F.count(F.when(F.col("is_query"), 1)).alias("asked"))
     counts = counts.select("list", F.greatest(F.lit(1), F.ceil(F.col("members") / tile)).cast("int").alias("chunks"), F.greatest(F.lit(1), F.ceil(F.col("asked") / (2 * tile))).cast("int").alias("blocks"))
     dealt = stored.join(F.broadcast(counts), "list")  # one row a list: at most max_lists
     slot = F.pmod(F.xxhash64("cls"), F.when(F.col("is_query"), F.col("blocks")).otherwise(F.col("chunks"))).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("chunks")).otherwise(F.col("blocks")) - 1)
-    dealt = dealt.withColumn("slot", slot).select("list", "is_query", "cls", "n", "u", "err", "code", "slot", F.explode(other).alias("other"))
+    dealt = dealt.withColumn("slot", slot).select("list", "is_query", "home", "cls", "n", "v", "err", "code", "slot", F.explode(other).alias("other"))
     chunk, block = F.when(F.col("is_query"), F.col("other")).otherwise(F.col("slot")), F.when(F.col("is_query"), F.col("slot")).otherwise(F.col("other"))
-    dealt = dealt.select(F.xxhash64("list", chunk, block).alias("task"), "list", "is_query", "cls", "n", "u", "err", "code").repartition("task").sortWithinPartitions("task", "is_query")
+    dealt = dealt.select(F.xxhash64("list", chunk, block).alias("task"), "list", "is_query", "home", "cls", "n", "v", "err", "code").repartition("task").sortWithinPartitions("task", "is_query")
 
     def search(batches):
         coarse, books, edges = shared.value
@@ -124,10 +113,10 @@ def near_duplicates(
         def solve(batch):
             task = batch.column("task").to_numpy()
             is_query = batch.column("is_query").to_numpy(zero_copy_only=False)
-            cls, n, err = (batch.column(c).to_numpy() for c in ("cls", "n", "err"))
-            u = batch.column("u").flatten().to_numpy().reshape(len(task), dim)
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(task), -1)
-            lists = batch.column("list").to_numpy()
+            cls, n, err, lists, home = (batch.column(c).to_numpy() for c in ("cls", "n", "err", "list", "home"))
+            u = _unit(batch.column("v"))
+            codes = np.zeros((len(task), len(books)), np.uint8)
+            codes[~is_query] = np.frombuffer(b"".join(batch.column("code").drop_null().to_pylist()), np.uint8).reshape(-1, len(books))
             cuts = np.flatnonzero(np.diff(task)) + 1
             who, links, a_, b_ = [], [], [], []
             for lo, hi in zip([0, *cuts], [*cuts, len(task)]):
@@ -148,10 +137,15 @@ def near_duplicates(
                     i, j = q + i[other], lo + j[other]
                     exact = np.einsum("ij,ij->i", u[i], u[j]) >= threshold
                     i, j = i[exact], j[exact]
+                    # where the other end asks this one's home too, only the smaller class takes the pair
+                    to_own, to_other = (((u[j] - coarse[c]) ** 2).sum(1) for c in (home[j], home[i]))
+                    gap = ((coarse[home[i]] - coarse[home[j]]) ** 2).sum(1)
+                    own = (cls[i] < cls[j]) | ~probes(to_own, to_other, gap)
+                    i, j = i[own], j[own]
                     if len(i):
-                        asked, at = np.unique(i, return_inverse=True)
-                        who.append(cls[asked])
-                        links.append(np.bincount(at, weights=n[j]).astype(np.int64))
+                        ends, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                        who.append(cls[ends])
+                        links.append(np.bincount(at, weights=np.concatenate([n[j], n[i]])).astype(np.int64))
                         x, y = forest(cls[i], cls[j])
                         found_a.append(x)
                         found_b.append(y)

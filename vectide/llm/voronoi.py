@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialize
+from vectide.llm.common import hash_sample, kmeans, materialize
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -24,82 +26,134 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, pivot_sample: int = 4096, rows_per_task: int = 20_000) -> DataFrame:
+class Cells(NamedTuple):
+    """Cells of queries: pivot, radius and number of queries of each."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    sizes: np.ndarray
+
+
+def query_cells(queries: DataFrame, pivot_queries: int, max_pivots: int, sample: int = 8192) -> tuple[DataFrame, Cells]:
+    """(vec_id, v, cell) of every query, and its cells. Pivots are cluster centres of at most `sample` queries."""
+    n = queries.count()
+    if not n:
+        return queries.withColumn("cell", F.lit(0)), Cells(np.zeros((0, 0)), np.zeros(0), np.zeros(0))
+    some = np.array([r.v for r in hash_sample(queries, ["vec_id"], sample).collect()])
+    pivots = kmeans(some, min(max_pivots, max(1, n // pivot_queries)), 8, 3)
+    shared = queries.sparkSession.sparkContext.broadcast(pivots)
+
+    def assign(batches):
+        p = shared.value
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            if len(x):
+                cell = ((p**2).sum(1) - 2 * x @ p.T).argmin(1)
+                away = np.sqrt(((x - p[cell]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(away)], ["vec_id", "v", "cell", "away"])
+
+    asked = materialize(queries.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, cell int, away double"), "voronoi-queries")
+    radius, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), int)
+    for r in asked.groupBy("cell").agg(F.max("away").alias("far"), F.count("*").alias("n")).collect():  # one row a pivot
+        radius[r.cell], sizes[r.cell] = r.far, r.n
+    return asked.drop("away"), Cells(pivots, radius, sizes)
+
+
+def neighbour_groups(cells: Cells, group_queries: int) -> np.ndarray:
+    """The group of each cell: a seed and its nearest neighbours, until they hold about `group_queries`."""
+    group, left, g = np.zeros(len(cells.sizes), int), np.flatnonzero(cells.sizes > 0), 0
+    while len(left):
+        away = ((cells.pivots[left] - cells.pivots[left[0]]) ** 2).sum(1)
+        near = left[np.argsort(away, kind="stable")]
+        took = max(1, int(np.searchsorted(np.cumsum(cells.sizes[near]), group_queries, side="right")))
+        group[near[:took]] = g
+        left, g = np.sort(near[took:]), g + 1
+    return group
+
+
+def wanted_rows(vectors: DataFrame, cells: Cells, group: np.ndarray, k: int) -> DataFrame:
+    """(grp, vec_id, v): the rows that the k best of a group's queries can be among. Rows far from all queries of a group
+    drop out where cells are tight; where vectors have no clusters, every group wants nearly all rows."""
+    used = np.flatnonzero(cells.sizes > 0)
+    first = np.flatnonzero(np.diff(np.sort(group[used]), prepend=-1))
+    order = used[np.argsort(group[used], kind="stable")]  # cells of one group next to each other
+    shared = vectors.sparkSession.sparkContext.broadcast((cells.pivots[order], cells.radius[order], first))
+
+    def summarise(batches):
+        p, r, _ = shared.value
+        best = np.full((k + 1, len(p)), -np.inf)
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            for lo in range(0, len(x), 2048):
+                part = x[lo : lo + 2048]
+                low = part @ p.T - np.sqrt((part**2).sum(1))[:, None] * r
+                best = -np.sort(-np.concatenate([best, low]), axis=0)[: k + 1]
+        at, cell = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(best[at, cell])], ["cell", "low"])
+
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))
+    lows = vectors.select("v").mapInArrow(summarise, "cell long, low double").withColumn("nth", nth).where(F.col("nth") == k + 1)
+    bound = np.full(len(order), -np.inf)
+    for row in lows.select("cell", "low").collect():  # one row a pivot
+        bound[row.cell] = row.low
+
+    def replicate(batches):
+        p, r, first = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                x = _matrix(part.column("v"))
+                high = x @ p.T + np.sqrt((x**2).sum(1))[:, None] * r
+                wanted = np.logical_or.reduceat(high >= bound - 1e-9 * (1 + np.abs(high)), first, axis=1)
+                row, grp = np.nonzero(wanted)
+                some = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(grp.astype(np.int32)), some.column("vec_id"), some.column("v")], ["grp", "vec_id", "v"])
+
+    return vectors.select("vec_id", "v").mapInArrow(replicate, "grp int, vec_id long, v array<double>")
+
+
+def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, pivot_queries: int = 32, max_pivots: int = 1024, group_queries: int = 1024, rows_per_task: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of every query with all other rows, ties to the
-    smaller vec_id; all rows if there are fewer. Inputs are (vec_id long, v array<double>) of one dimension and whole
-    components; ids are unique (repeated rows of the data give repeated candidates). An empty side gives no rows.
-
-    A vector y gets one more component sqrt(M^2 - |y|^2), M the largest norm, a query gets 0; then the largest inner
-    products are the nearest neighbours. Queries and data go to their nearest of `pivots` pivots (taken from at most
-    `pivot_sample` rows, farthest first). From summaries, each cell's radius and k + 1 smallest distances to its pivot,
-    every query group gets a bound on its k-th neighbour's distance; a data row is replicated to a group only if the
-    triangle inequality lets it be within the bound. Groups with their rows are dealt out in tasks of bounded size, and
-    the tasks' k best are merged. The driver holds pivots and summaries: a few numbers a cell.
+    smaller vec_id; all rows if there are fewer. Inputs are (vec_id long, v array<double>) of whole components. Rows whose
+    length is not the commonest take no part. Repeated ids among the queries are one query, repeated rows of the data
+    are candidates of their own. An empty side gives no rows.
+
+    Queries belong to the cell of their nearest pivot, about `pivot_queries` a cell, and neighbouring cells to groups of
+    about `group_queries`. For a cell with pivot p and radius r, every query q of it has q.y between p.y - r|y| and
+    p.y + r|y|. A first pass over the data summarises, for each cell, the k + 1 largest lower bounds: k rows besides the
+    query itself surely reach the smallest of them. A second one replicates a row to those groups only that have a cell
+    whose bound its upper bound reaches. Groups with their rows are dealt out in tasks of bounded size, large groups
+    also by blocks of queries, and the tasks' k best are merged. The driver holds pivots and summaries: a few numbers a
+    cell. How many rows can be left out depends on the data: see `wanted_rows`.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
-    top = vectors.agg(F.max(norm), F.max(F.size("v")), F.count("*")).first()
-    if not top[2] or queries.isEmpty():
+    commonest = vectors.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if commonest is None:
         return empty
-    most, dim = float(top[0]), int(top[1])
-    sample = np.array([r.v for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivot_sample).collect()])
-    sample = np.column_stack([sample, np.sqrt(np.maximum(most - (sample**2).sum(1), 0))])
-    chosen, far = [0], ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < min(pivots, len(sample)) and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
-    centers = sample[chosen]
-    shared = spark.sparkContext.broadcast(centers)
-
-    def assign(is_query: bool):
-        def run(batches):
-            p = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column("v"))
-                extra = np.zeros(len(x)) if is_query else np.sqrt(np.maximum(most - (x**2).sum(1), 0))
-                x = np.column_stack([x, extra])
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1) - 2 * x @ p.T, 0))
-                cell = d.argmin(1)
-                away = np.sqrt(((x - p[cell]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(away)], ["vec_id", "v", "cell", "away"])
-
-        return run
-
-    schema = "vec_id long, v array<double>, cell int, away double"
-    data = materialize(vectors.mapInArrow(assign(False), schema), "voronoi-data")
-    asked = materialize(queries.mapInArrow(assign(True), schema), "voronoi-queries")
-    radius = {r.cell: r.far for r in asked.groupBy("cell").agg(F.max("away").alias("far")).collect()}  # one row a pivot
-    salted = Window.partitionBy("cell", "salt").orderBy("away", "vec_id")
-    first = data.select("cell", "away", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
-    near = first.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("away", "vec_id"))).where(F.col("n") <= k + 1)
-    nearest: dict[int, list[float]] = {}
-    for r in near.select("cell", "away").collect():  # at most k + 1 rows a pivot
-        nearest.setdefault(r.cell, []).append(r.away)
-    between = np.sqrt(np.maximum(((centers[:, None] - centers) ** 2).sum(2), 0))
-    slack = 1e-6 * (1 + np.sqrt(most) + between.max())
-    # k + 1 rows are surely within reach[g] of every query of group g, so k besides the query itself
-    reach = {}
-    for g, far_q in radius.items():
-        bounds = sorted(between[g, c] + far_q + a for c, some in nearest.items() for a in some)
-        reach[g] = bounds[k] if len(bounds) > k else float("inf")
-    wants = [(g, c, float(between[g, c] - radius[g] - reach[g] - slack)) for g in radius for c in nearest]
-    wanted = F.broadcast(spark.createDataFrame(wants, "grp int, cell int, least double"))  # pivots^2 rows at most
-    sent = data.join(wanted, "cell").where("away >= least")
-    sizes = {r.grp: r.n for r in sent.groupBy("grp").agg(F.count("*").alias("n")).collect()}
-    tasks = F.broadcast(spark.createDataFrame([(g, max(1, -(-n // rows_per_task))) for g, n in sizes.items()] or [(-1, 1)], "grp int, tasks int"))
-    query_rows = asked.withColumnRenamed("cell", "grp").join(tasks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), "vec_id", "v")
-    data_rows = sent.join(tasks, "grp").select("grp", F.pmod(F.xxhash64("vec_id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("kind"), "vec_id", "v")
-    both = query_rows.union(data_rows).repartition("grp", "task").sortWithinPartitions("grp", "task", "kind")
+    dim, rows = commonest
+    vectors, queries = (x.where(F.size("v") == dim) for x in (vectors, queries.dropDuplicates(["vec_id"])))
+    asked, cells = query_cells(queries, pivot_queries, max_pivots)
+    if not len(cells.pivots):
+        return empty
+    group = neighbour_groups(cells, group_queries)
+    sent = wanted_rows(vectors, cells, group, k)
+    n = np.bincount(group, weights=cells.sizes).astype(int)
+    chunks = max(1, -(-rows // rows_per_task))
+    blocks = F.element_at(F.lit([int(max(1, -(-x // (2 * group_queries)))) for x in n]), F.col("grp") + 1)
+    salt = F.xxhash64("vec_id")
+    every = F.sequence(F.lit(0), F.lit(int(chunks) - 1))
+    own = asked.select(F.element_at(F.lit(group.tolist()), F.col("cell") + 1).alias("grp"), "vec_id", "v")
+    query_rows = own.withColumn("block", F.pmod(salt, blocks).cast("int")).select("grp", "block", F.explode(every).alias("chunk"), F.lit(0).alias("kind"), "vec_id", "v")
+    data_rows = sent.select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(salt, F.lit(int(chunks))).cast("int").alias("chunk"), F.lit(1).alias("kind"), "vec_id", "v")
+    both = query_rows.union(data_rows).select(F.xxhash64("grp", "block", "chunk").alias("task"), "kind", "vec_id", "v").repartition("task").sortWithinPartitions("task", "kind")
 
     def best(ids: np.ndarray, scores: np.ndarray):
         order = np.lexsort((ids, -scores))[:k]
         return ids[order], scores[order]
 
     def solve(batches):
-        state = None  # (grp, task), query ids, query matrix, best ids and scores so far
+        state = None  # task, query ids, query matrix, best ids and scores so far
 
         def done():
             for q, ids, scores in zip(state["ids"], state["best"], state["scores"]):
@@ -113,8 +167,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, pivot
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grp, task, kind = (batch.column(c).to_numpy() for c in ("grp", "task", "kind"))
-            key = grp.astype(np.int64) << 32 | task
+            key, kind = (batch.column(c).to_numpy() for c in ("task", "kind"))
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(key)]):
                 ids, x = batch.column("vec_id").to_numpy()[a:b], _matrix(batch.column("v").slice(a, b - a))
