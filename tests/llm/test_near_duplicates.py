@@ -1,5 +1,6 @@
 """SimHash, suffix and embedding dedup against plain versions."""
 
+import os
 import random
 from itertools import combinations
 
@@ -88,9 +89,29 @@ def test_suffix_sort():
     rng = random.Random(2)
     items = [bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(300)]
     group = np.sort(np.array([rng.randint(0, 5) for _ in items]))
-    order, shared = suffix_dedup.suffix_sort(items, group)
+    size = np.array([len(x) for x in items])
+    order, shared = suffix_dedup.suffix_sort(np.frombuffer(b"".join(items), np.uint8), np.cumsum(size) - size, size, group)
     assert [(group[i], items[i]) for i in order] == sorted((group[i], items[i]) for i in range(300))
-    assert shared[0] == 0
+    for a, b, n in zip(order, order[1:], shared[1:]):
+        same = group[a] == group[b]
+        assert n == (len(os.path.commonprefix([items[a], items[b]])) if same else 0)
+
+
+def test_suffix_dedup_when_digests_collide(spark):
+    """Digests only bring suffixes together: of one byte they collide, and the bytes still decide."""
+    docs = texts(60)
+    wanted = suffix_repeats(docs)
+    for hot in (20_000, 10):
+        got = suffix_dedup.repeats(table(spark, docs), hot=hot, digest_size=1).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == wanted
+
+
+def test_suffix_dedup_of_one_repeating_text(spark):
+    """One text that repeats itself many times, and a later copy of a part of it."""
+    line = "the same line again and again, longer than fifty bytes by far. "
+    docs = [(1, line * 3000), (2, "x" * 3000), (3, line * 5), (4, "x" * 60), (5, "é" * 2000), (6, "y" + "é" * 40)]
+    got = suffix_dedup.repeats(table(spark, docs), hot=50).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == suffix_repeats(docs)
 
 
 def test_embeddings(spark):
