@@ -9,8 +9,9 @@ Two deterministic machines do the library's work:
 * the *merger* reads the bytes of a word and annotates every transition with the change in the number of tokens that
   the bytes so far encode to. It is determinised lazily: a state is the longest suffix that some token may still
   extend, with the last token and relative count at each position of that suffix. Words reset it, so the map of a
-  chunk that starts at a word start is constant and chunks need no further composition. The table is bounded; when
-  full it is flushed and rebuilt from the states in use.
+  chunk that starts at a word start is constant. Longer words are cut into chunks as well: a chunk's map is evaluated
+  for the entry states that its predecessor hands on, and runs from different states soon meet. The table is bounded;
+  when full it is flushed and rebuilt from the states in use.
 
 Both rest on a property of BPE: an encoding is the canonical one exactly if every adjacent pair of its tokens is what
 the merges make of that pair's bytes, so the last token of every prefix follows from those of shorter prefixes.
@@ -147,12 +148,14 @@ class Merger:
         self.vocab, self.max_states, self.merges = spec["vocab"], max_states, spec["merges"]
         self.made = {i: (rank, *pair) for pair, (rank, i) in reversed(spec["merges"].items())}  # the first merge that makes it
         self.sorted = sorted(self.vocab)  # tokens with one beginning lie together
+        self.made_tables = 0
         self.length = np.zeros(max(self.vocab.values()) + 1, np.int32)
         for t, i in self.vocab.items():
             self.length[i] = len(t)
         self._clear()
 
     def _clear(self) -> None:
+        self.made_tables += 1
         self.keys: list[tuple] = []
         self.index: dict[tuple, int] = {}
         self.same: dict[tuple, int | None] = {}
@@ -225,40 +228,78 @@ class Merger:
         after = self._state((tail[k:], tuple(None if held[j] is None else (held[j], history[j][1] - count) for j in range(k, n + 1))))
         self.next[s, byte] = after
 
-    def run(self, data: np.ndarray, starts: np.ndarray, tokens: bool, width: int = 256) -> np.ndarray:
-        """For each byte the last token of its word so far if `tokens`, else the change of its word's token count."""
+    def _step(self, data: np.ndarray, keep: np.ndarray, pos: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state and byte, next state) of lanes that read the bytes at `pos`; transitions not yet known are built."""
+        key = state & keep.take(pos, mode="clip")
+        key <<= 8
+        key |= data.take(pos, mode="clip")
+        after = self.next.ravel().take(key, mode="clip")
+        if after.min() < 0:
+            if len(self.keys) > self.max_states:
+                used, where = np.unique(key >> 8, return_inverse=True)
+                held = [self.keys[s] for s in used]
+                self._clear()
+                key = (np.array([self._state(k) for k in held])[where] << 8) | (key & 255)
+            for k in np.unique(key[self.next.ravel()[key] < 0]):
+                self._build(int(k) >> 8, int(k) & 255)
+            after = self.next.ravel()[key]
+        return key, after
+
+    def run(self, data: np.ndarray, starts: np.ndarray, tokens: bool, width: int = 256, split: bool = True) -> np.ndarray:
+        """For each byte the last token of its word so far if `tokens`, else the change of its word's token count.
+
+        Lanes begin at word starts. A word longer than two lanes is cut into chunks whose entry states are not known
+        yet: each is first run from the start state, then from what the chunk before it ended in, all such chunks at
+        once, until it meets the states of its earlier run; the map of a chunk is known from there on. Rounds end when
+        no chunk's entry has changed, most often after the first.
+        """
         out = np.zeros(len(data), np.int32 if tokens else np.int8)
         at = np.flatnonzero(starts)
         if not len(at):
             return out
         cuts = np.unique(at[np.minimum(np.searchsorted(at, np.arange(0, len(data), width)), len(at) - 1)])
         size = np.diff(np.append(cuts, len(data)))
+        long = np.flatnonzero(size > 2 * width) if split else cuts[:0]
+        inner = np.concatenate([cuts[:0], *[np.arange(cuts[i] + width, cuts[i] + size[i], width) for i in long]])
+        if len(inner):
+            cuts = np.sort(np.concatenate([cuts, inner]))
+            size = np.diff(np.append(cuts, len(data)))
+        states = np.empty(len(data), np.int32) if len(inner) else None
         order = np.argsort(-size, kind="stable")
         pos, size = cuts[order], size[order]
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # lanes longer than t
         keep = np.where(starts, 0, -1)
         state = np.zeros(len(pos), np.int64)
-        following, emit = self.next.ravel(), self.emit.ravel()
+        made = self.made_tables
         for n in active:
             pos, state = pos[:n], state[:n]
-            key = state & keep.take(pos, mode="clip")
-            key <<= 8
-            key |= data.take(pos, mode="clip")
-            after = following.take(key, mode="clip")
-            if after.min() < 0:
-                if len(self.keys) > self.max_states:
-                    used, where = np.unique(key >> 8, return_inverse=True)
-                    held = [self.keys[s] for s in used]
-                    self._clear()
-                    key = (np.array([self._state(k) for k in held])[where] << 8) | (key & 255)
-                for k in np.unique(key[self.next.ravel()[key] < 0]):
-                    self._build(int(k) >> 8, int(k) & 255)
-                following, emit = self.next.ravel(), self.emit.ravel()
-                after = following[key]
-            out[pos] = self.last.take(after, mode="clip") if tokens else emit.take(key, mode="clip")
+            key, after = self._step(data, keep, pos, state)
+            out[pos] = self.last.take(after, mode="clip") if tokens else self.emit.ravel().take(key, mode="clip")
+            if states is not None:
+                states[pos] = after
             state = after.astype(np.int64)
             pos += 1
-        return out
+        if states is None:
+            return out
+        entry, end = np.zeros(len(inner), np.int32), np.append(cuts, len(data))[np.searchsorted(cuts, inner) + 1]
+        while self.made_tables == made:
+            before = states[inner - 1]
+            lane = np.flatnonzero(before != entry)
+            if not len(lane):
+                return out
+            entry = before
+            pos, state = inner[lane], before[lane].astype(np.int64)
+            while len(lane):
+                key, after = self._step(data, keep, pos, state)
+                if self.made_tables != made:
+                    break
+                going = states[pos] != after
+                out[pos] = self.last.take(after, mode="clip") if tokens else self.emit.ravel().take(key, mode="clip")
+                states[pos] = after
+                pos += 1
+                going &= pos < end[lane]
+                lane, pos, state = lane[going], pos[going], after[going].astype(np.int64)
+        return self.run(data, starts, tokens, width, split=False)  # the table was flushed, and with it the states' numbers
 
 
 _mergers: dict[str, Merger] = {}
