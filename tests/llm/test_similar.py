@@ -3,11 +3,13 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm.brute import WORDS, components
 from tests.llm.test_near_duplicates import table, texts
+from vectide.llm import simhash
 
 pytestmark = pytest.mark.seconds(150)
 
@@ -47,5 +49,21 @@ def test_near_copies_at_0_8(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
 
 
+def test_bitmaps_never_rule_out_a_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+        a, b = np.unique(pool[: rng.integers(0, 400)]), np.unique(pool[rng.integers(0, 100) : rng.integers(100, 600)])
+        assert simhash.fewest_differences(simhash.parity_bits(a), simhash.parity_bits(b)) <= len(np.setxor1d(a, b))
+
+
+def test_hubs_lose_no_link(spark):
+    """A large group of which no node alone is similar to all: hubs of two, and all pairs by brute force."""
+    docs = texts(40) + planted()
+    sets, root = all_pairs(docs)
+    got = simhash.similar_groups(table(spark, docs), hub=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
+
+
 def test_no_table(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, table(spark, []), "").count() == 0

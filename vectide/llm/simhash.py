@@ -176,7 +176,22 @@ def near_dedup(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_
     return _firsts(docs, simhash_groups(docs, distance, id_col=id_col, text_col=text_col), id_col, text_col)
 
 
-def _common_shingles(docs: DataFrame, shingle: int, seed: int, texts: int = 20_000, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """One bit for each residue of the shingle hashes, about as many as shingles: whether an odd number of them has it.
+    Two sets differ in at least as many shingles as their bitmaps differ in bits."""
+    size = 1 << max(6, int(len(shingles)).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fewest_differences(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has; the longer bitmap is folded."""
+    x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _common_shingles(docs: DataFrame, shingle: int, seed: int, texts: int = 4_000, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingle hashes, texts that hold each) of shingles that `least` of about `texts` sampled texts share,
     counted where a slice of texts has them at least twice.
 
@@ -201,8 +216,8 @@ def _common_shingles(docs: DataFrame, shingle: int, seed: int, texts: int = 20_0
 
 
 def _sketches(docs: DataFrame, shingle: int, seed: int, share: Fraction) -> DataFrame:
-    """(doc_id, node, fp, n, prefix) of every row of (doc_id, text): a hash of its shingle set, the set's SimHash and
-    size, and the shingles of which two texts of similarity `share` have one in common."""
+    """(doc_id, node, fp, n, bits, prefix) of every row of (doc_id, text): a hash of its shingle set, the set's SimHash and
+    size, its parity bitmap, and the shingles of which two texts of similarity `share` have one in common."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle, seed))
 
     def run(batches):
@@ -210,30 +225,26 @@ def _sketches(docs: DataFrame, shingle: int, seed: int, share: Fraction) -> Data
         for part in text_slices(batches):
             data, offsets = flat_text(part.column("text"))
             raw, bounds = data.tobytes(), offsets.tolist()
-            node, fp, size, prefix = [], [], [], []
+            node, fp, size, bits, prefix = [], [], [], [], []
             for a, b in zip(bounds, bounds[1:]):
                 s = shingle_set(raw[a:b], shingle, seed)
                 n = len(s)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
                 fp.append(_majority(s.astype(">u8").view(np.uint8)))
                 size.append(n)
+                bits.append(parity_bits(s))
                 if len(common):  # rare shingles first, so that few texts meet
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     s = s[np.argsort(np.where(common[at] == s, texts[at], 0), kind="stable")]
                 prefix.append(s[: n - -(-share.numerator * n // share.denominator) + 1 if n else 0].tobytes())
-            cols = [part.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "fp", "n", "prefix"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, prefix binary")
+            cols = [part.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "fp", "n", "bits", "prefix"])
 
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, bits binary, prefix binary")
 
-def _prefix_pairs(nodes: DataFrame, share: Fraction) -> DataFrame:
-    """Pairs (a, b) of `nodes` (node, root, n, prefix) with different roots that may reach `share`; none that does is left out.
 
-    Two sets of that similarity share a shingle of their prefixes, their sizes allow for it, and so does what follows
-    the first shared shingle.
-    """
-    p, q = share.numerator, share.denominator
+def _prefix_tokens(nodes: DataFrame) -> DataFrame:
+    """(token, node, root, n, pos): a row for each shingle of a prefix."""
 
     def spread(batches):
         for batch in batches:
@@ -246,7 +257,17 @@ def _prefix_pairs(nodes: DataFrame, share: Fraction) -> DataFrame:
                 cut = slice(lo, lo + (1 << 17))
                 yield pa.RecordBatch.from_arrays([pa.array(token[cut]), *[pa.array(c[cut]) for c in cols], pa.array(pos[cut].astype(np.int32))], ["token", "node", "root", "n", "pos"])
 
-    tokens = nodes.select("node", "root", "n", "prefix").mapInArrow(spread, "token long, node long, root long, n int, pos int")
+    return nodes.select("node", "root", "n", "prefix").mapInArrow(spread, "token long, node long, root long, n int, pos int")
+
+
+def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFrame:
+    """(a, b, token): pairs of nodes with different roots that share a token and may reach `share`; of tokens that more
+    than `hub` nodes have, only pairs with one of these, and the token itself is told. None: all pairs of all tokens.
+
+    Two sets of that similarity share a shingle of their prefixes, their sizes allow for it, and so does what follows
+    the first shared shingle.
+    """
+    p, q = share.numerator, share.denominator
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -260,15 +281,22 @@ def _prefix_pairs(nodes: DataFrame, share: Fraction) -> DataFrame:
             token, node, root, n, pos = cols
             edge = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
             size = np.diff(np.append(edge, len(token)))
-            small = np.repeat(size <= 96, size)
-            found = []
-            for gap in range(1, int(size[size <= 96].max(initial=0))):
+            most = 96 if hub is None else hub
+            small = np.repeat(size <= most, size)
+            found = [(node[:0], node[:0])]
+            for gap in range(1, int(size[size <= most].max(initial=0))):
                 x = np.flatnonzero((token[:-gap] == token[gap:]) & small[gap:])
                 x = x[fits(x, x + gap, root, n, pos)]
                 found.append((node[x], node[x + gap]))
-            for at, k in zip(edge[size > 96].tolist(), size[size > 96].tolist()):
+            large = np.flatnonzero(size > most)
+            for at, k in zip(edge[large].tolist(), size[large].tolist()):
                 if (root[at : at + k] == root[at]).all():
                     continue
+                if hub is not None:
+                    x, y = np.full(k, at + int(node[at : at + k].argmin())), np.arange(at, at + k)
+                    ok = fits(x, y, root, n, pos)
+                    found.append((node[x[ok]], node[y[ok]]))
+                    continue
                 s = at + np.argsort(n[at : at + k], kind="stable")  # by size: only the next ones up to 1 / share are compared
                 until = np.searchsorted(n[s].astype(np.int64) * p, n[s].astype(np.int64) * q, side="right")
                 for c in range(0, k, 256):
@@ -277,10 +305,12 @@ def _prefix_pairs(nodes: DataFrame, share: Fraction) -> DataFrame:
                     x, y = rows[i], others[j]
                     ok = fits(x, y, root, n, pos)
                     found.append((node[x[ok]], node[y[ok]]))
-            a = np.concatenate([f[0] for f in found] or [node[:0]])
-            b = np.concatenate([f[1] for f in found] or [node[:0]])
+            a, b = (np.concatenate(f) for f in zip(*found))
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
+            told = token[edge[large]] if hub is not None else token[:0]
+            none = pa.nulls(len(told), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.nulls(len(pair), pa.int64())], ["a", "b", "token"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(told)], ["a", "b", "token"])
 
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("token", "node", "root", "n", "pos")]
@@ -290,17 +320,33 @@ def _prefix_pairs(nodes: DataFrame, share: Fraction) -> DataFrame:
                 continue
             last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last token may go on in the next batch
             if last:
-                yield solve([c[:last] for c in cols])
+                yield from solve([c[:last] for c in cols])
             held = [c[last:] for c in cols]
         if held:
-            yield solve(held)
+            yield from solve(held)
+
+    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, token long").distinct()
 
-    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+
+def _alike(pairs: DataFrame, nodes: DataFrame, share: Fraction, name: str) -> DataFrame:
+    """Those of `pairs` (a, b) whose bitmaps do not rule out a similarity of `share`."""
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    p, q = share.numerator, share.denominator
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            apart = np.array([fewest_differences(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())], np.int64)
+            ok = pa.array((p + q) * apart <= (q - p) * total)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return materialize(both.mapInArrow(run, "a long, b long"), f"{name}-alike")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, seed: int, share: Fraction, name: str) -> DataFrame:
     """Those of `pairs` (a, b) whose whole shingle sets have a Jaccard similarity of at least `share`."""
-    pairs = materialize(pairs, f"{name}-candidates")
+    pairs = _alike(pairs, nodes, share, name)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ends = materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("id").alias("at")), f"{name}-ends")
 
@@ -329,18 +375,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, hub: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row of `docs`.
 
     Documents link when the Jaccard similarity of their sets of `shingle` words is at least `similarity`, counted on the
     whole sets; component_id is the smallest doc_id reachable. SimHash blocks propose the close copies first, so that
     large groups are one before the rest is compared; what differs in more bits comes from a join on shingle prefixes,
-    which leaves out no pair of that similarity. Equal sets are one node; texts without words are equal.
+    which leaves out no pair of that similarity. Of a shingle that more than `hub` nodes have in their prefixes, pairs
+    with one of them come first, so that a large group is one before its other pairs are looked at. Bitmaps rule out most
+    candidates before whole sets are sent. Equal sets are one node; texts without words are equal. Null texts count as
+    empty, repeated rows give a row each, a null doc_id is only ever a component_id if nothing else is reachable.
     """
     share = Fraction(str(similarity))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialize(_sketches(docs, shingle, seed, share), "sketches")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").cast("long").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").cast("long").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "distinct-sets")
     first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first-of-fingerprint")
     near = close_links(first.select("fp", F.col("fp").alias("id")), distance)
@@ -348,10 +397,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     same = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verified(near, nodes, docs, shingle, seed, share, "near")
-    roots = materialize(components(links, "near"), "near-roots").withColumnRenamed("component", "root")
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links = links.union(_verified(_prefix_pairs(rooted, share), nodes, docs, shingle, seed, share, "similar"))
-    joined = components(links, "similar")
+
+    def rooted(links: DataFrame, name: str) -> DataFrame:
+        roots = materialize(components(links, name), f"{name}-roots").withColumnRenamed("component", "root")
+        return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    found = materialize(_prefix_pairs(_prefix_tokens(rooted(links, "near")), share, hub), "similar-pairs")
+    links = links.union(_verified(found.where("a is not null").select("a", "b"), nodes, docs, shingle, seed, share, "similar"))
+    hot = found.where("token is not null").select("token")
+    if not hot.isEmpty():  # what large groups have besides their pairs with one node, where roots still differ
+        tokens = _prefix_tokens(rooted(links, "similar")).join(hot, "token")
+        links = links.union(_verified(_prefix_pairs(tokens, share, None).select("a", "b"), nodes, docs, shingle, seed, share, "rest"))
+    joined = components(links, "linked")
     classes = nodes.select("node", "id").join(joined, "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = materialize(classes.join(smallest, "root").select("node", "component_id"), "similar-classes")
