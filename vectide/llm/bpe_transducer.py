@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import flat_text, text_slices
+from vectide.llm.common import flat_text, small_batches, text_slices
 
 # Character classes of the splitter; contraction letters have their own.
 STMD, RV, E, L_LETTER, LETTER, NUMBER, OTHER, QUOTE, SPACE, BLANK, END = range(11)
@@ -396,6 +396,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and null ids give a row each. Other columns are
     dropped. Special strings inside texts count as one token (the library's default). One narrow pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer_path))
 
     def run(batches):

@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` rows from now on: long texts would else make batches of a hundred megabytes, once
+    each in the JVM and in every Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back (as `schema`, if given): lineage ends there, and a lost executor
     costs nothing.
@@ -33,6 +40,7 @@ def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> D
     Unlike a checkpoint the result carries no partitioning, so joins on it stay open to AQE's skew handling.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/vectide/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
@@ -59,7 +67,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def text_slices(batches, budget: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds about `budget` bytes of text (a longer single text stays whole)."""
+    """Cut Arrow batches so that each piece holds about `budget` bytes of text (a longer single text stays whole). What
+    Arrow has freed goes back to the system when all are through: the worker may wait for its next task a long time."""
+    yield from _text_slices(batches, budget, column)
+    pa.default_memory_pool().release_unused()
+
+
+def _text_slices(batches, budget: int, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size, dtype=np.int64)

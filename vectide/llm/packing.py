@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.llm.bpe_transducer import Tokenizer, load_spec
-from vectide.llm.common import materialize, text_slices
+from vectide.llm.common import materialize, small_batches, text_slices
 
 SALTS = 256
 
@@ -22,6 +22,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: in
 
     Null texts count as empty and give one piece that holds `end_id`. Repeated rows and null ids give their own pieces.
     """
+    small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer_path))
 
     def run(batches):

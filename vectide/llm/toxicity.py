@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from vectide.llm.common import flat_text, hash_sample, materialize, text_slices
+from vectide.llm.common import flat_text, hash_sample, materialize, small_batches, text_slices
 
 BUCKETS = 1 << 20
 SIZES = (3, 4, 5, 6)
@@ -149,6 +149,7 @@ def fit(labelled: DataFrame, features: int = 12_000, buckets: int = BUCKETS, alp
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): probability of toxic for every whole text; null texts count as empty. The weights that are
     broadcast have a fixed size (4 MB at 2^20 buckets)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -185,6 +186,7 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` that score below 0.5, with all their columns; one pass, no join. Null texts count as empty,
     repeated rows stay or go together, an empty table stays empty."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
