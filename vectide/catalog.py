@@ -207,7 +207,7 @@ def pair_distances(spark, d):
 def knn_shards(spark, d):
     """Each shard's best, merged."""
     parts = [search.knn(asked(spark, d), rows(spark, d).where(F.col("vec_id") % 3 == i), 10) for i in range(3)]
-    return _rounded(search.ranked(parts[0].union(parts[1]).union(parts[2]).drop("rank"), 10), "score")
+    return _rounded(search.merged(parts, 10), "score")
 
 
 @query("split_vectors", "SELECT q_id, vec_id, round(s, 5) AS score FROM (SELECT q_id, vec_id, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(qv, v)]) AS s FROM q, e) WHERE s < 1.7")
@@ -224,10 +224,10 @@ def split_vectors(spark, d):
 @query("margin", "& s AS (SELECT q_id, vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(qv, v)]) AS score FROM q JOIN e ON vec_id <> q_id), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 4), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, q_id) AS r FROM s) WHERE r <= 4) SELECT f.q_id, f.vec_id, round(2 * score / (mq + mx), 5) AS margin FROM f JOIN (SELECT q_id, avg(score) AS mq FROM f GROUP BY q_id) USING (q_id) JOIN (SELECT vec_id, avg(score) AS mx FROM b GROUP BY vec_id) USING (vec_id)")
 def margin(spark, d):
     """Mutual margin of each query and its four nearest, itself left out."""
-    pairs = search.within(asked(spark, d), rows(spark, d), -2.0, "inner_product").where("q_id <> vec_id")
-    forward = search.ranked(pairs, 4, "inner_product")
-    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "q_id")
-    backward = pairs.withColumn("r", F.row_number().over(order)).where("r <= 4").select(F.col("vec_id").alias("q_id"), "score")
+    turned = lambda x: x.select(*[F.col(c).alias({"q_id": "vec_id", "vec_id": "q_id"}.get(c, c)) for c in ("q_id", "vec_id", "embedding") if c in x.columns])
+    best = lambda q, x: search.ranked(search.knn(q, x, 5, "inner_product").where("q_id <> vec_id").drop("rank"), 4, "inner_product")
+    forward = best(asked(spark, d), rows(spark, d))
+    backward = best(turned(rows(spark, d)), turned(asked(spark, d)))
     return _rounded(search.margins(forward, backward), "margin")
 
 
@@ -244,8 +244,8 @@ def probed(spark, d, n: int = 3) -> DataFrame:
     return search.probes(asked(spark, d), centroids(spark, d), n)
 
 
-def scored(spark, d) -> DataFrame:
-    return search.scan_lists(asked(spark, d), probed(spark, d), lists(spark, d))
+def scored(spark, d, k: int | None = 10, radius: float | None = None) -> DataFrame:
+    return search.scan_lists(asked(spark, d), probed(spark, d), lists(spark, d), k=k, radius=radius)
 
 
 @query("assign", "SELECT vec_id, CAST(list_no AS INTEGER) AS list_no, round(s, 5) AS score FROM (SELECT vec_id, list_no, s, row_number() OVER (PARTITION BY vec_id ORDER BY s, list_no) AS r FROM (SELECT vec_id, list_no, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, cv)]) AS s FROM e, c)) WHERE r = 1")
@@ -255,22 +255,22 @@ def assign(spark, d):
 
 @query("ivf_search", PROBES + "SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM t")
 def ivf_search(spark, d):
-    return _rounded(search.ivf(asked(spark, d), centroids(spark, d), lists(spark, d), 10, 3), "score")
+    return _rounded(search.ivf(asked(spark, d), centroids(spark, d), lists(spark, d), 10, 3).drop("list_no"), "score")
 
 
 @query("ivf_all_lists", _top(SQL_METRIC["l2"], 10))
 def ivf_all(spark, d):
-    return _rounded(search.ivf(asked(spark, d), centroids(spark, d), lists(spark, d), 10, 1000), "score")
+    return _rounded(search.ivf(asked(spark, d), centroids(spark, d), lists(spark, d), 10, 1000).drop("list_no"), "score")
 
 
 @query("ivf_max_codes", PROBES + ", z AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY q_id ORDER BY probe_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN (SELECT label, count(*) AS n FROM e GROUP BY label) ON label = list_no) SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.q_id ORDER BY score, vec_id) AS rank FROM s JOIN z ON z.q_id = s.q_id AND z.list_no = s.list_no WHERE before < 60) WHERE rank <= 10")
 def ivf_max_codes(spark, d):
-    return _rounded(search.ivf(asked(spark, d), centroids(spark, d), lists(spark, d), 10, 3, max_codes=60), "score")
+    return _rounded(search.ivf(asked(spark, d), centroids(spark, d), lists(spark, d), 10, 3, max_codes=60).drop("list_no"), "score")
 
 
 @query("ivf_range", PROBES + "SELECT q_id, vec_id, round(score, 5) AS score FROM s WHERE score < 1.7")
 def ivf_range(spark, d):
-    return _rounded(scored(spark, d).where("score < 1.7").select("q_id", "vec_id", "score"), "score")
+    return _rounded(scored(spark, d, radius=1.7).select("q_id", "vec_id", "score"), "score")
 
 
 @query("ivf_best_of_lists", PROBES + "SELECT q_id, list_no, CAST(probe_rank AS INTEGER) AS probe_rank, round(min(score), 5) AS best_score, arg_min(vec_id, score) AS best_id FROM s GROUP BY q_id, list_no, probe_rank")
@@ -319,8 +319,8 @@ def probe_counts(spark, d):
 def stage_overlap(spark, d):
     """Share of each stage's lists that the stage before it probed; the queries in order are the stages."""
     sets = probed(spark, d).groupBy("q_id").agg(F.collect_set("list_no").alias("ls"))
-    w = sets.withColumn("bs", F.lag("ls").over(Window.orderBy("q_id"))).where("bs is not null")
-    return w.select("q_id", F.round(F.size(F.array_intersect("ls", "bs")) / F.size("ls"), 5).alias("overlap"))
+    before = sets.select((F.col("q_id") + 100).alias("q_id"), F.col("ls").alias("bs"))
+    return sets.join(before, "q_id").select("q_id", F.round(F.size(F.array_intersect("ls", "bs")) / F.size("ls"), 5).alias("overlap"))
 
 
 @query("stage_drift", "SELECT label, vec_id, round(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, w)]), 5) AS drift FROM (SELECT label, vec_id, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM e) WHERE w IS NOT NULL")
@@ -361,12 +361,17 @@ def list_limits(spark, d):
     return sizes.select("list_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n")
 
 
-@query("matrix_statistics", "SELECT i - 1 AS pos, count(*) AS n, count(*) FILTER (v[i] = 0) AS n_zero, round(min(v[i]), 5) AS low, round(max(v[i]), 5) AS high, round(avg(v[i]), 5) AS mean, round(stddev_pop(v[i]), 5) AS deviation FROM e, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY i")
+@query("matrix_statistics", "SELECT i - 1 AS pos, count(*) AS n, count(*) FILTER (isnan(v[i])) AS n_nan, count(*) FILTER (isinf(v[i])) AS n_inf, count(*) FILTER (v[i] = 0) AS n_zero, round(min(v[i]), 5) AS low, round(max(v[i]), 5) AS high, round(avg(v[i]), 5) AS mean, round(stddev_pop(v[i]), 5) AS deviation FROM e, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY i")
 def matrix_statistics(spark, d):
-    s = index.statistics(rows(spark, d)).withColumn("pos", F.col("pos").cast("long")).drop("n_nan")
+    s = index.statistics(rows(spark, d)).withColumn("pos", F.col("pos").cast("long"))
     return _rounded(s, "low", "high", "mean", "deviation")
 
 
+@query("row_statistics", "SELECT count(*) AS n, count(DISTINCT v) AS n_distinct, round(min(s), 5) AS least_norm, round(max(s), 5) AS largest_norm FROM (SELECT v, sqrt(list_sum([x * x FOR x IN v])) AS s FROM e)")
+def row_statistics(spark, d):
+    return _rounded(index.row_statistics(rows(spark, d)), "least_norm", "largest_norm")
+
+
 @query("duplicate_vectors", "SELECT vec_id, representative, copies FROM e JOIN (SELECT v, min(vec_id) AS representative, count(*) AS copies FROM e GROUP BY v) USING (v)")
 def duplicate_vectors(spark, d):
     return index.duplicates(rows(spark, d))
@@ -458,19 +463,23 @@ def binary_hash(spark, d):
 
 @query("binary_knn", WORDS + "SELECT q_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score, vec_id) AS rank FROM hm) WHERE rank <= 5")
 def binary_knn(spark, d):
-    """Hamming distance of sign bits is a quarter of the squared distance of the +1/-1 vectors."""
-    signs = V.from_sign_words(F.col("words"), DIM).alias("embedding")
-    coded = _coded(spark, d).select("vec_id", signs)
-    hits = search.knn(coded.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), "embedding"), coded, 5)
-    return hits.withColumn("score", F.round(F.col("score") / 4).cast("long"))
+    q, coded = _hamming(spark, d)
+    hits = search.knn(q.select("q_id", F.col("q").alias("embedding")), coded.withColumnRenamed("words", "embedding"), 5, "hamming")
+    return hits.withColumn("score", F.col("score").cast("long"))
+
+
+@query("binary_range", WORDS + "SELECT q_id, vec_id, score FROM hm WHERE score < 25")
+def binary_range(spark, d):
+    q, coded = _hamming(spark, d)
+    hits = search.within(q.select("q_id", F.col("q").alias("embedding")), coded.withColumnRenamed("words", "embedding"), 25, "hamming")
+    return hits.withColumn("score", F.col("score").cast("long"))
 
 
 @query("hamming_histogram", WORDS + "SELECT score, count(*) AS n FROM hm GROUP BY score")
 def hamming_histogram(spark, d):
-    signs = V.from_sign_words(F.col("words"), DIM).alias("embedding")
-    coded = _coded(spark, d).select("vec_id", signs)
-    hits = search.within(coded.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), "embedding"), coded, 1e9)
-    return hits.groupBy(F.round(F.col("score") / 4).cast("long").alias("score")).agg(F.count("*").alias("n"))
+    q, coded = _hamming(spark, d)
+    counted = search.histogram(q.select("q_id", F.col("q").alias("embedding")), coded.withColumnRenamed("words", "embedding"))
+    return counted.select(F.col("score").cast("long").alias("score"), "n")
 
 
 @query("distinct_codes", WORDS + "SELECT w0, w1, min(vec_id) AS vec_id FROM b GROUP BY w0, w1")
@@ -512,7 +521,7 @@ def intersection_at_10(spark, d):
 @query("range_precision_recall", PROBES + ", a AS (SELECT q_id, vec_id, sc FROM (SELECT q_id, vec_id, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(qv, v)]) AS sc FROM q, e) WHERE sc < 1.6), f AS (SELECT * FROM s WHERE score < 1.7), x AS (SELECT q_id, (SELECT count(*) FROM a WHERE a.q_id = q.q_id) AS tn, (SELECT count(*) FROM f WHERE f.q_id = q.q_id) AS fn, (SELECT count(*) FROM a JOIN f ON a.q_id = f.q_id AND a.vec_id = f.vec_id WHERE a.q_id = q.q_id) AS bn FROM q) SELECT round(sum(bn) / sum(fn), 5) AS precision, round(sum(bn) / sum(tn), 5) AS recall, round(avg(CASE WHEN fn > 0 THEN bn / fn WHEN tn = 0 THEN 1.0 ELSE 0.0 END), 5) AS mean_precision, round(avg(CASE WHEN tn > 0 THEN bn / tn ELSE 1.0 END), 5) AS mean_recall FROM x")
 def range_precision_recall(spark, d):
     truth = search.within(asked(spark, d), rows(spark, d), 1.6)
-    found = scored(spark, d).where("score < 1.7").select("q_id", "vec_id", "score")
+    found = scored(spark, d, radius=1.7).select("q_id", "vec_id", "score")
     return _rounded(evaluate.precision_recall(truth, found, asked(spark, d)), "precision", "recall", "mean_precision", "mean_recall")
 
 
@@ -557,8 +566,8 @@ def hash_encoder(spark, d):
 @query("retrieve_documents", ENC + "SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM top", tables=False)
 def retrieve_documents(spark, d):
     questions = T.encode(_questions(spark, d), "id", "question").select(F.col("id").alias("q_id"), "embedding")
-    near = search.within(questions, _texts(spark, d)[1].select(F.col("id").alias("vec_id"), "embedding"), 1e-12, "inner_product")
-    return _rounded(search.ranked(near.withColumn("score", F.round("score", 9)), 3, "inner_product"), "score")
+    near = search.knn(questions, _texts(spark, d)[1].select(F.col("id").alias("vec_id"), "embedding"), 3, "inner_product", digits=9)
+    return _rounded(near.where("score > 0"), "score")
 
 
 @query("bm25_search", """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS ws FROM documents),
@@ -636,3 +645,6 @@ def pca(spark, d):
     matrix, mean = clustering.pca(rows(spark, d), 8)
     centered_ = V.subtract(F.col("embedding"), F.array(*[F.lit(float(m)) for m in mean]))
     return rows(spark, d).select("vec_id", V.linear(centered_, matrix.tolist()).alias("embedding"))
+
+
+from vectide import catalog_more  # noqa: E402, F401  registers more queries

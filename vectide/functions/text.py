@@ -77,3 +77,15 @@ def token_f1(answer: Column, golden: Column) -> Column:
     a, g = F.array_distinct(words(answer)), F.array_distinct(words(golden))
     common = F.size(F.array_intersect(a, g))
     return F.when(common == 0, F.lit(0.0)).otherwise(2.0 * common / (F.size(a) + F.size(g)))
+
+
+def passage(text: Column) -> Column:
+    """A document as encoders trained on queries and passages want it."""
+    return F.concat(F.lit("passage: "), F.coalesce(text, F.lit("")))
+
+
+def latest_messages(turns: DataFrame, most: int, by: str = "conv_id", order: str = "turn", text_col: str = "text") -> DataFrame:
+    """The rows of the latest turns of each conversation that together have at most `most` words."""
+    n = F.size(F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"))
+    newest = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return turns.withColumn("__total", F.sum(n).over(newest)).where(F.col("__total") <= most).drop("__total")

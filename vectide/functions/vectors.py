@@ -132,3 +132,16 @@ def from_sign_words(words: Column, size: int) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def l2_from_inner_product(a: Column, b: Column) -> Column:
+    """Squared distance as |a|^2 + |b|^2 - 2 a.b."""
+    return squared_norm(a) + squared_norm(b) - 2 * metric("inner_product", a, b)
+
+
+def k_smallest(v: Column, k: int) -> Column:
+    return F.slice(F.array_sort(doubles(v)), 1, k)
+
+
+def k_largest(v: Column, k: int) -> Column:
+    return F.slice(F.sort_array(doubles(v), asc=False), 1, k)

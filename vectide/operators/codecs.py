@@ -72,3 +72,60 @@ def hamming_pairs(queries: DataFrame, coded: DataFrame, flips: int, bits: int) -
     asked = queries.select("q_id", F.col("words").alias("q"), F.explode(F.array(*[bucket(F.col("words")).bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("bucket"))
     stored = coded.select("vec_id", "words", bucket(F.col("words")).alias("bucket"))
     return asked.join(stored, "bucket").select("q_id", "vec_id", V.hamming(F.col("q"), F.col("words")).alias("score"))
+
+
+def packed(codes: Column, bits: int) -> Column:
+    """Codes of `bits` bits each, packed in words of at most 32 bits, least significant first."""
+    per = 32 // bits
+    def word(i: Column) -> Column:
+        part = F.transform(F.slice(codes, (i * per + 1).cast("int"), per), lambda c, j: c.cast("long") * F.pow(F.lit(2.0), j * bits).cast("long"))
+        return F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    return F.transform(F.sequence(F.lit(0), (F.ceil(F.size(codes) / F.lit(per)) - 1).cast("int")), word)
+
+
+def unpacked(words: Column, bits: int, size: int) -> Column:
+    per = 32 // bits
+    at = lambda i: F.element_at(words, (F.floor(i / per) + 1).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.pmod(F.floor(at(i) / F.pow(F.lit(2.0), F.pmod(i, F.lit(per)) * bits)), F.lit(1 << bits)).cast("int"))
+
+
+def uniform_range(trained: DataFrame) -> DataFrame:
+    """One range for all components instead of one each."""
+    low, high = F.array_min("low"), F.array_max(F.zip_with("low", "width", lambda a, w: a + w))
+    bounds = trained.select(F.size("low").alias("n"), low.alias("a"), high.alias("b"))
+    return bounds.select(F.array_repeat("a", F.col("n")).alias("low"), F.array_repeat(F.col("b") - F.col("a"), F.col("n")).alias("width"))
+
+
+def quantile_ranges(rows: DataFrame, share: float) -> DataFrame:
+    """Ranges from the `share` to the 1 - `share` quantile of each component."""
+    parts = rows.where("embedding is not null").select(F.posexplode("embedding").alias("pos", "x"))
+    x = F.col("x").cast("double")
+    by_pos = parts.groupBy("pos").agg(F.percentile(x, F.lit(share)).alias("low"), F.percentile(x, F.lit(1 - share)).alias("high"))
+    return _as_ranges(by_pos)
+
+
+def deviation_ranges(rows: DataFrame, times: float) -> DataFrame:
+    """Ranges of `times` standard deviations on both sides of the mean."""
+    parts = rows.where("embedding is not null").select(F.posexplode("embedding").alias("pos", "x"))
+    x = F.col("x").cast("double")
+    stats = parts.groupBy("pos").agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
+    return _as_ranges(stats.select("pos", (F.col("m") - F.col("s") * times).alias("low"), (F.col("m") + F.col("s") * times).alias("high")))
+
+
+def _as_ranges(by_pos: DataFrame) -> DataFrame:
+    ordered = by_pos.agg(F.array_sort(F.collect_list(F.struct("pos", "low", "high"))).alias("r"))  # one entry a component
+    return ordered.select(F.transform("r", lambda s: s["low"]).alias("low"), F.transform("r", lambda s: s["high"] - s["low"]).alias("width"))
+
+
+def multi_hash_pairs(queries: DataFrame, coded: DataFrame, flips: int, bits: int, hashes: int) -> DataFrame:
+    """(q_id, vec_id, score): as hamming_pairs with `hashes` buckets a code, taken from successive `bits` bits of its
+    first word; a pair that several of them bring together counts once."""
+    masks = [m for m in range(1 << bits) if bin(m).count("1") <= flips]
+    part = lambda w, h: F.shiftright(w[0], h * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    near = lambda w: F.flatten(F.array(*[F.array(*[F.struct(F.lit(h).alias("h"), part(w, h).bitwiseXOR(F.lit(m).cast("long")).alias("bucket")) for m in masks]) for h in range(hashes)]))
+    asked = queries.select("q_id", F.explode(near(F.col("words"))).alias("b")).select("q_id", "b.h", "b.bucket")
+    stored = coded.select("vec_id", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), part(F.col("words"), h).alias("bucket")) for h in range(hashes)])).alias("b")).select("vec_id", "b.h", "b.bucket")
+    pairs = asked.join(stored, ["h", "bucket"]).select("q_id", "vec_id").distinct()
+    both = pairs.join(queries.select("q_id", F.col("words").alias("q")), "q_id").join(coded.select("vec_id", "words"), "vec_id")
+    return both.select("q_id", "vec_id", V.hamming(F.col("q"), F.col("words")).alias("score"))

@@ -38,3 +38,49 @@ def frontier(points: DataFrame) -> DataFrame:
     least = points.where("perf > 0").groupBy("perf").agg(F.min("time").alias("time"))
     better = Window.orderBy(F.desc("perf")).rowsBetween(Window.unboundedPreceding, -1)
     return least.withColumn("best", F.min("time").over(better)).where("best is null or time <= best").select("perf", "time")
+
+
+def precision_recall_at(truth: DataFrame, found: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(threshold, precision, recall) of hits (q_id, vec_id, score) with score below each threshold, all queries together.
+    Thresholds are a short list; hits are counted once, by the thresholds they pass."""
+    marked = found.join(truth.select("q_id", "vec_id", F.lit(1).alias("good")), ["q_id", "vec_id"], "left")
+    whole = truth.agg(F.count("*").alias("all"))
+    passed = thresholds.join(F.broadcast(whole)).join(marked, F.col("score") < F.col("threshold"), "left")
+    counted = passed.groupBy("threshold", "all").agg(F.count("score").alias("n"), F.count("good").alias("both"))
+    precision = F.when(F.col("n") > 0, F.col("both") / F.col("n")).otherwise(1.0)
+    return counted.select("threshold", precision.alias("precision"), F.when(F.col("all") > 0, F.col("both") / F.col("all")).otherwise(1.0).alias("recall"))
+
+
+def same_modulo_ties(first: DataFrame, second: DataFrame, digits: int = 5) -> DataFrame:
+    """(q_id, same): whether two results hold the same ids at the same scores; ids of the worst score kept may differ, as
+    ties there are cut by k."""
+
+    def sides(hits):
+        scored = hits.select("q_id", "vec_id", F.round("score", digits).alias("score"))
+        last = scored.groupBy("q_id").agg(F.max("score").alias("last"))
+        inner = F.array_sort(F.collect_list(F.when(F.col("score") < F.col("last"), F.struct("score", "vec_id"))))
+        return scored.join(last, "q_id").groupBy("q_id").agg(inner.alias("inner"), F.array_sort(F.collect_list("score")).alias("scores"))
+
+    a, b = sides(first), sides(second)
+    both = a.join(b.select("q_id", F.col("inner").alias("inner_b"), F.col("scores").alias("scores_b")), "q_id", "full")
+    return both.select("q_id", F.coalesce((F.col("inner") == F.col("inner_b")) & (F.col("scores") == F.col("scores_b")), F.lit(False)).alias("same"))
+
+
+def best_latency(measured: DataFrame, by: list[str], settings: list[str], time: str) -> DataFrame:
+    """(by..., best, settings of it): the mean time of each setting, and for each key the setting with the least mean."""
+    means = measured.groupBy(*by, *settings).agg(F.avg(time).alias("mean"))
+    first = Window.partitionBy(*by).orderBy("mean", *settings)
+    return means.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumnRenamed("mean", "best")
+
+
+def probe_settings(lists: int) -> list[int]:
+    """The numbers of probes worth trying: powers of two up to 2^12 below the number of lists."""
+    return [1 << i for i in range(13) if 1 << i < lists]
+
+
+def profile(hits: DataFrame, previous: DataFrame) -> DataFrame:
+    """(q_id, top1, top5, top20, in_old): the scores at ranks 1, 5 and 20 of each query, and the share of its hits that are
+    among the hits of the query before it (`previous`: q_id of the later one, vec_id)."""
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score"))).alias(f"top{r}")
+    marked = hits.join(previous.select("q_id", "vec_id", F.lit(1.0).alias("old")), ["q_id", "vec_id"], "left")
+    return marked.groupBy("q_id").agg(at(1), at(5), at(20), F.avg(F.coalesce("old", F.lit(0.0))).alias("in_old"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
-from vectide.operators.search import BROADCAST_BYTES, knn, pairwise
+from vectide.operators.search import BROADCAST_BYTES, _matrix, knn, pairwise, plain_unions
 
 
 def centroids_of(rows: DataFrame, key: str = "label") -> DataFrame:
@@ -39,7 +39,7 @@ def assign(rows: DataFrame, centroids: DataFrame, name: str = "l2") -> DataFrame
         for batch in batches:
             if not batch.num_rows or not len(numbers):
                 continue
-            x = np.array(batch.column("embedding").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column("embedding"))
             d = pairwise(name, c, x)
             at = (d.argmax(0) if name in V.SIMILARITIES else d.argmin(0))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(numbers[at]), pa.array(d[at, np.arange(len(x))])], ["vec_id", "list_no", "score"])
@@ -65,6 +65,7 @@ def imbalance(sizes: DataFrame) -> DataFrame:
 
 def merged(first: DataFrame, second: DataFrame, shift: int) -> DataFrame:
     """Both indexes, the second's ids shifted."""
+    plain_unions(first.sparkSession)
     return first.unionByName(second.withColumn("vec_id", F.col("vec_id") + shift))
 
 
@@ -75,6 +76,7 @@ def without(lists: DataFrame, ids: DataFrame) -> DataFrame:
 
 def updated(lists: DataFrame, changes: DataFrame) -> DataFrame:
     """Rows of `changes` replace those of the same id."""
+    plain_unions(lists.sparkSession)
     return without(lists, changes).unionByName(changes)
 
 
@@ -91,12 +93,13 @@ def duplicates(rows: DataFrame) -> DataFrame:
 
 
 def statistics(rows: DataFrame) -> DataFrame:
-    """(pos, n, n_nan, n_zero, low, high, mean, deviation) of each component."""
+    """(pos, n, n_nan, n_inf, n_zero, low, high, mean, deviation) of each component; NaN and infinite ones are only counted."""
     x = F.col("x").cast("double")
-    good = F.when(~F.isnan(x), x)
+    infinite = F.abs(x) == float("inf")
+    good = F.when(~F.isnan(x) & ~infinite, x)
     parts = rows.select(F.posexplode("embedding").alias("pos", "x"))
     return parts.groupBy("pos").agg(
-        F.count("*").alias("n"), F.count(F.when(F.isnan(x), 1)).alias("n_nan"), F.count(F.when(x == 0, 1)).alias("n_zero"), F.min(good).alias("low"), F.max(good).alias("high"), F.avg(good).alias("mean"), F.stddev_pop(good).alias("deviation")
+        F.count("*").alias("n"), F.count(F.when(F.isnan(x), 1)).alias("n_nan"), F.count(F.when(infinite, 1)).alias("n_inf"), F.count(F.when(x == 0, 1)).alias("n_zero"), F.min(good).alias("low"), F.max(good).alias("high"), F.avg(good).alias("mean"), F.stddev_pop(good).alias("deviation")
     )
 
 
@@ -117,3 +120,77 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def pending(rows: DataFrame, done: DataFrame, key: str = "vec_id") -> DataFrame:
     """Rows that an interrupted job has not written yet."""
     return rows.join(done.select(key), key, "left_anti")
+
+
+def row_statistics(rows: DataFrame) -> DataFrame:
+    """(n, n_distinct, least_norm, largest_norm) of whole vectors."""
+    each = rows.where("embedding is not null").groupBy("embedding").agg(F.count("*").alias("n")).withColumn("norm", V.norm(F.col("embedding")))
+    return each.agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.min("norm").alias("least_norm"), F.max("norm").alias("largest_norm"))
+
+
+def stacked(first: DataFrame, second: DataFrame, shift: int) -> DataFrame:
+    """The lists of both, the second's numbered `shift` further."""
+    plain_unions(first.sparkSession)
+    return first.unionByName(second.withColumn("list_no", F.col("list_no") + shift))
+
+
+def sliced(lists: DataFrame, begin: int, end: int) -> DataFrame:
+    """Lists begin..end-1, numbered from 0."""
+    return lists.where((F.col("list_no") >= begin) & (F.col("list_no") < end)).withColumn("list_no", F.col("list_no") - begin)
+
+
+def without_long_lists(lists: DataFrame, most: int) -> DataFrame:
+    """Lists of more than `most` rows count as empty, like stop words."""
+    short = lists.groupBy("list_no").count().where(F.col("count") <= most).select("list_no")
+    return lists.join(short, "list_no", "left_semi")
+
+
+def masked(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Each list from `first`, or from `second` where the first has it empty."""
+    plain_unions(first.sparkSession)
+    return first.unionByName(second.join(first.select("list_no").distinct(), "list_no", "left_anti"))
+
+
+def checksum(rows: DataFrame) -> DataFrame:
+    """(vec_id, checksum): sum of floor(2^20 * component) * (place + 1) of each vector; equal vectors have equal sums."""
+    v = V.doubles(F.col("embedding"))
+    weighed = F.transform(v, lambda x, i: F.floor(x * F.lit(1048576.0)) * (i + 1))
+    return rows.select("vec_id", F.aggregate(weighed, F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
+
+
+def compatible(first: DataFrame, second: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(same_lists, largest_gap, compatible) of two coarse models (list_no, embedding): indexes merge only if they have the
+    same lists with the same centroids."""
+    a = first.select("list_no", F.col("embedding").alias("a"))
+    b = second.select("list_no", F.col("embedding").alias("b"))
+    gap = F.when(F.size("a") == F.size("b"), V.metric("linf", F.col("a"), F.col("b")))
+    each = a.join(b, "list_no", "full").agg(F.count("*").alias("n"), F.count(gap).alias("paired"), F.max(gap).alias("largest_gap"))
+    same = F.col("n") == F.col("paired")
+    return each.select(same.alias("same_lists"), "largest_gap", (same & (F.coalesce("largest_gap", F.lit(0.0)) <= tolerance)).alias("compatible"))
+
+
+def in_bitmap(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """Rows whose id is set in a bitmap (word_no, bits): bit id % 32 of word id / 32."""
+    word = rows.withColumn("word_no", F.floor(F.col("vec_id") / 32))
+    return word.join(bitmap, "word_no").where(F.getbit("bits", F.pmod("vec_id", F.lit(32))) == 1).select(*rows.columns)
+
+
+def bitmap_of(ids: DataFrame) -> DataFrame:
+    """(word_no, bits) of the ids (vec_id)."""
+    bit = F.pow(F.lit(2.0), F.pmod("vec_id", F.lit(32))).cast("long")
+    return ids.select("vec_id").distinct().groupBy(F.floor(F.col("vec_id") / 32).alias("word_no")).agg(F.bit_or(bit).alias("bits"))
+
+
+def expanded(hits: DataFrame, groups: DataFrame) -> DataFrame:
+    """(q_id, vec_id, score): hits on representatives with all their copies; `groups` is what duplicates() tells."""
+    copies = groups.select(F.col("representative").alias("rep"), "vec_id")
+    return hits.select("q_id", F.col("vec_id").alias("rep"), "score").join(copies, "rep").select("q_id", "vec_id", "score")
+
+
+def assign_sparse(sparse: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(vec_id, list_no, score): the centroid with the largest inner product with each sparse row (vec_id, pos, x); equal to
+    nine digits, ties to the smaller list_no."""
+    dense = centroids.select("list_no", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "c"))
+    scores = sparse.join(dense, "pos").groupBy("vec_id", "list_no").agg(F.sum(F.col("x") * F.col("c")).alias("score"))
+    first = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("score", 9)), "list_no"))
+    return scores.withColumn("n", first).where("n = 1").select("vec_id", F.col("list_no").cast("int").alias("list_no"), "score")

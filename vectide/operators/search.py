@@ -5,9 +5,11 @@ Tables are (vec_id long, embedding array). Queries and results carry q_id. Ties
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
@@ -49,20 +51,27 @@ def pairwise(name: str, q: np.ndarray, x: np.ndarray, p: float = 3.0) -> np.ndar
                 out[i] = x.shape[1] / there.sum(1) * np.where(there, (x - v) ** 2, 0).sum(1)
             elif name == "abs_inner_product":
                 out[i] = np.abs(x * v).sum(1)
+            elif name == "hamming":  # words of at most 32 bits
+                out[i] = np.bitwise_count(x.astype(np.int64) ^ v.astype(np.int64)).sum(1)
+            elif name == "lut":  # x holds codes, v a table of distances by code for each of them
+                table = v.reshape(x.shape[1], -1)
+                out[i] = table[np.arange(x.shape[1]), x.astype(np.int64)].sum(1)
             else:
                 raise ValueError(f"unknown metric {name}")
     return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    """Rows of one length as a matrix of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 class _Best:
     """The k best (or, with a radius, all near enough) of each query over what a task has seen."""
 
-    def __init__(self, ids, matrix, name, k, radius, p):
-        self.ids, self.matrix, self.name, self.k, self.radius, self.p = ids, matrix, name, k, radius, p
+    def __init__(self, ids, matrix, name, k, radius, p, digits=None):
+        self.ids, self.matrix, self.name, self.k, self.radius, self.p, self.digits = ids, matrix, name, k, radius, p, digits
         self.sign = -1.0 if name in V.SIMILARITIES else 1.0
         self.near = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
 
@@ -70,7 +79,7 @@ class _Best:
         """Yields (q_id, vec_id, score) arrays at once if there is a radius."""
         for lo in range(0, len(self.ids), 64):
             d = self.sign * pairwise(self.name, self.matrix[lo : lo + 64], x, self.p)
-            d = np.where(np.isnan(d), np.inf, d)
+            d = np.where(np.isnan(d), np.inf, d if self.digits is None else np.round(d, self.digits))
             if self.radius is not None:
                 i, j = np.nonzero(d < self.sign * self.radius)
                 if len(i):
@@ -100,7 +109,7 @@ def _batches(found):
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], ["q_id", "vec_id", "score"])
 
 
-def _scan(queries: DataFrame, corpus: DataFrame, name: str, k: int, radius: float | None, p: float) -> DataFrame:
+def _scan(queries: DataFrame, corpus: DataFrame, name: str, k: int, radius: float | None, p: float, digits: int | None = None) -> DataFrame:
     queries = queries.where("embedding is not null").select("q_id", "embedding")
     corpus = corpus.where("embedding is not null").select("vec_id", "embedding")
     size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()
@@ -110,7 +119,7 @@ def _scan(queries: DataFrame, corpus: DataFrame, name: str, k: int, radius: floa
 
         def scan(batches):
             ids, matrix = shared.value
-            best = _Best(ids, matrix, name, k, radius, p)
+            best = _Best(ids, matrix, name, k, radius, p, digits)
             for batch in batches:
                 if len(ids) and batch.num_rows:
                     yield from _batches(best.see(batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))))
@@ -120,34 +129,46 @@ def _scan(queries: DataFrame, corpus: DataFrame, name: str, k: int, radius: floa
 
     blocks, chunks = -(-size[0] // QUERY_BLOCK), max(1, -(-corpus.count() // DATA_BLOCK))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.lit(0).alias("kind"), F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int").alias("block"), spread(chunks).alias("chunk"), F.col("q_id").alias("id"), "embedding")
-    right = corpus.select(F.lit(1).alias("kind"), spread(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("vec_id").alias("id"), "embedding")
-    grid = left.union(right).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind")
+    left = queries.select(F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int").alias("block"), spread(chunks).alias("chunk"), "q_id", "embedding")
+    right = corpus.select(spread(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), "vec_id", "embedding")
+    return _grid(left, right, name, k, radius, p, digits).drop("block")
+
+
+def _grid(left: DataFrame, right: DataFrame, name: str, k: int, radius: float | None, p: float, digits: int | None = None) -> DataFrame:
+    """(q_id, vec_id, score, block): queries (block, chunk, q_id, embedding) meet the rows (block, chunk, vec_id, embedding)
+    of their cell. A cell's queries are held, its rows stream past."""
+    left = left.select(F.lit(0).alias("kind"), "block", "chunk", F.col("q_id").alias("id"), V.doubles(F.col("embedding")).alias("embedding"))
+    right = right.select(F.lit(1).alias("kind"), "block", "chunk", F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("embedding"))
+    cells = left.union(right).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind")
 
     def solve(batches):
         best, key, ids, x = None, None, [], []
+
+        def told(found):
+            for batch in _batches(found):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, key[0], np.int32))], ["q_id", "vec_id", "score", "block"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = batch.column("block").to_numpy().astype(np.int64) << 32 | batch.column("chunk").to_numpy()
-            kind, at = batch.column("kind").to_numpy(), batch.column("id").to_numpy()
-            matrix = _matrix(batch.column("embedding"))
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(cell)]):
-                if key != cell[a]:
+            block, chunk, kind, at = (batch.column(c).to_numpy() for c in ("block", "chunk", "kind", "id"))
+            vectors = batch.column("embedding")
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(block)]):
+                if key != (block[a], chunk[a]):
                     if best:
-                        yield from _batches(best.rest())
-                    best, key, ids, x = None, cell[a], [], []
+                        yield from told(best.rest())
+                    best, key, ids, x = None, (block[a], chunk[a]), [], []
                 if kind[a] == 0:
                     ids.append(at[a:b])
-                    x.append(matrix[a:b])
+                    x.append(_matrix(vectors.slice(a, b - a)))
                 elif ids:
-                    best = best or _Best(np.concatenate(ids), np.concatenate(x), name, k, radius, p)
-                    yield from _batches(best.see(at[a:b], matrix[a:b]))
+                    best = best or _Best(np.concatenate(ids), np.concatenate(x), name, k, radius, p, digits)
+                    yield from told(best.see(at[a:b], _matrix(vectors.slice(a, b - a))))
         if best:
-            yield from _batches(best.rest())
+            yield from told(best.rest())
 
-    return grid.mapInArrow(solve, RESULT)
+    return cells.mapInArrow(solve, RESULT + ", block int")
 
 
 def ranked(hits: DataFrame, k: int, name: str = "l2", by: str = "q_id") -> DataFrame:
@@ -156,10 +177,23 @@ def ranked(hits: DataFrame, k: int, name: str = "l2", by: str = "q_id") -> DataF
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(score, "vec_id"))).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, name: str = "l2", p: float = 3.0, selector: Column | None = None) -> DataFrame:
-    """(q_id, vec_id, score, rank). A selector is a predicate on the corpus and applies before the search."""
+def plain_unions(spark: SparkSession) -> None:
+    """Keep Spark from taking parts that each lie by one key for a whole that lies by it. Where adaptive execution reads the
+    shuffles below such a union locally, the parts do not lie alike, and groups come out once a part (Spark 4.1)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def merged(parts: list[DataFrame], k: int, name: str = "l2") -> DataFrame:
+    """The k best of several results (q_id, vec_id, score)."""
+    plain_unions(parts[0].sparkSession)
+    return ranked(reduce(lambda a, b: a.unionByName(b), [x.select("q_id", "vec_id", "score") for x in parts]), k, name)
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, name: str = "l2", p: float = 3.0, selector: Column | None = None, digits: int | None = None) -> DataFrame:
+    """(q_id, vec_id, score, rank). A selector is a predicate on the corpus and applies before the search. With `digits`
+    scores are rounded first, so that those that differ in their last bits only are ties."""
     corpus = corpus if selector is None else corpus.where(selector)
-    return ranked(_scan(queries, corpus, name, k, None, p), k, name)
+    return ranked(_scan(queries, corpus, name, k, None, p, digits), k, name)
 
 
 def within(queries: DataFrame, corpus: DataFrame, radius: float, name: str = "l2", p: float = 3.0, selector: Column | None = None) -> DataFrame:
@@ -185,22 +219,78 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, name: str = "l
     return near.select("q_id", F.col("vec_id").cast("int").alias("list_no"), F.col("score").alias("centroid_score"), F.col("rank").alias("probe_rank"))
 
 
-def scan_lists(queries: DataFrame, probed: DataFrame, lists: DataFrame, name: str = "l2", selector: Column | None = None) -> DataFrame:
-    """All scores of the probed lists: queries go to the lists by an equi-join on list_no (probed brings any assignment)."""
-    lists = lists if selector is None else lists.where(selector)
-    asked = probed.join(queries.select("q_id", F.col("embedding").alias("q")), "q_id")
-    return asked.join(lists.select("list_no", "vec_id", "embedding"), "list_no").withColumn("score", V.metric(name, F.col("q"), F.col("embedding"))).drop("q", "embedding")
+def scan_lists(queries: DataFrame, probed: DataFrame, lists: DataFrame, name: str = "l2", selector: Column | None = None, k: int | None = None, radius: float | None = None, p: float = 3.0) -> DataFrame:
+    """(q_id, list_no, vec_id, score and what else `probed` has): the k best rows of each probed list (or all within the
+    radius). `probed` brings any assignment (q_id, list_no); a query may have none, one or many lists.
+
+    One list meets all its queries at once. Lists of more than `DATA_BLOCK` rows are cut in chunks and their queries
+    sent to each, so no list has to fit in one task; only k rows a query and chunk come out.
+    """
+    lists = (lists if selector is None else lists.where(selector)).where("embedding is not null").select("list_no", "vec_id", "embedding")
+    asked = probed.select("q_id", "list_no").distinct().join(queries.where("embedding is not null").select("q_id", "embedding"), "q_id")
+    return _by_list(asked, lists, name, k, radius, p).join(probed, ["q_id", "list_no"])
+
+
+def _by_list(asked: DataFrame, lists: DataFrame, name: str, k: int | None, radius: float | None, p: float = 3.0) -> DataFrame:
+    """(q_id, list_no, vec_id, score) of asked (q_id, list_no, embedding) against lists (list_no, vec_id, embedding)."""
+    sizes = lists.groupBy("list_no").agg(F.ceil(F.count("*") / F.lit(DATA_BLOCK)).cast("int").alias("chunks"))
+    left = asked.join(sizes, "list_no").select(F.col("list_no").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "q_id", "embedding")
+    right = lists.join(sizes, "list_no").select(F.col("list_no").cast("int").alias("block"), F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "embedding")
+    everything = 1 << 30
+    hits = _grid(left, right, name, k or everything, radius, p)
+    return hits.withColumnRenamed("block", "list_no")
 
 
 def ivf(queries: DataFrame, centroids: DataFrame, lists: DataFrame, k: int, nprobe: int, name: str = "l2", max_codes: int = 0, selector: Column | None = None) -> DataFrame:
-    """(q_id, vec_id, score, rank) over the nprobe nearest lists; with max_codes a query stops probing once it has scanned
-    that many rows."""
+    """(q_id, vec_id, list_no, score, rank) over the nprobe nearest lists; with max_codes a query stops probing once it has
+    scanned that many rows."""
     probed = probes(queries, centroids, nprobe, name)
     if max_codes:
         sizes = lists.groupBy("list_no").agg(F.count("*").alias("n"))
         before = Window.partitionBy("q_id").orderBy("probe_rank").rowsBetween(Window.unboundedPreceding, -1)
         probed = probed.join(sizes, "list_no").withColumn("scanned", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("scanned") < max_codes).drop("n", "scanned")
-    return ranked(scan_lists(queries, probed, lists, name, selector).select("q_id", "vec_id", "score"), k, name)
+    return ranked(scan_lists(queries, probed, lists, name, selector, k).select("q_id", "vec_id", "list_no", "score"), k, name)
+
+
+def continued(best: DataFrame, queries: DataFrame, probed: DataFrame, lists: DataFrame, k: int, name: str = "l2") -> DataFrame:
+    """(q_id, vec_id, score, rank): one more step of an incremental search. `best` (q_id, vec_id, score) is what the steps
+    before have found, `probed` the lists of this step, as many for each query as it likes; nothing is scanned again."""
+    return merged([best, scan_lists(queries, probed, lists, name, k=k)], k, name)
+
+
+def hot_and_cold(queries: DataFrame, probed: DataFrame, lists: DataFrame, hot: DataFrame, k: int, name: str = "l2") -> DataFrame:
+    """(q_id, vec_id, score, rank): lists in `hot` (list_no) are kept in the executors' memory, all others are read when
+    asked for; both parts' best are merged."""
+    kept = lists.join(hot.select("list_no"), "list_no", "left_semi").persist()
+    cold = lists.join(hot.select("list_no"), "list_no", "left_anti")
+    return merged([scan_lists(queries, probed, part, name, k=k) for part in (kept, cold)], k, name)
+
+
+def with_vectors(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The hits with the vectors (or codes) they found: all columns of `corpus`, joined by vec_id."""
+    return hits.join(corpus, "vec_id")
+
+
+def histogram(queries: DataFrame, corpus: DataFrame, name: str = "hamming") -> DataFrame:
+    """(score, n): how many pairs have each distance. Every task counts its own; pairs never leave it. For distances that
+    are whole numbers and for queries that fit in every task."""
+    held = queries.where("embedding is not null").select("embedding").collect()  # the queries, checked below
+    matrix = np.array([r.embedding for r in held], np.float64)
+    if matrix.nbytes > BROADCAST_BYTES:
+        raise ValueError("too many queries for one histogram: run it over parts and add them up")
+    shared = queries.sparkSession.sparkContext.broadcast(matrix)
+
+    def count(batches):
+        total: dict[float, int] = {}
+        for batch in batches:
+            if batch.num_rows and len(shared.value):
+                x = _matrix(batch.column("embedding"))
+                for lo in range(0, len(shared.value), 64):
+                    for d, n in zip(*np.unique(pairwise(name, shared.value[lo : lo + 64], x), return_counts=True)):
+                        total[d] = total.get(d, 0) + int(n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["score", "n"])
+
+    return corpus.where("embedding is not null").select("embedding").mapInArrow(count, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
 
 
 def best_of_lists(scored: DataFrame, name: str = "l2") -> DataFrame:
@@ -221,6 +311,11 @@ def staged(scored: DataFrame, k: int, batch: int, name: str = "l2") -> DataFrame
     return later.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "stage", "rank", "vec_id", "score")
 
 
+def speculation_accuracy(told: DataFrame) -> DataFrame:
+    """(accuracy): share of the queries whose early answer was right."""
+    return told.agg(F.avg(F.col("right").cast("double")).alias("accuracy"))
+
+
 def speculation(staged_hits: DataFrame, stage: int) -> DataFrame:
     """(q_id, right): whether the top k after `stage` already was the final one, in order."""
     ids = staged_hits.groupBy("q_id", "stage").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
