@@ -12,7 +12,7 @@ from tests.llm.brute import components, fingerprint, suffix_repeats
 from vectide.llm import pq_dedup, registry, simhash, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.seconds(90)
+pytestmark = pytest.mark.seconds(180)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, id long, k long, `row` string, component_id long, size int, copies int"
 
 
@@ -133,6 +133,28 @@ def test_embeddings(spark):
     assert (links <= close.sum(1)).all() and links.sum() >= 0.99 * close.sum()
 
 
+def test_embeddings_of_many_lists(spark):
+    """10,000 vectors of 64 dimensions in a hundred lists, with links: every count and component against all pairs."""
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(1250, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    v = (np.repeat(base, 8, axis=0) + rng.normal(size=(10_000, 64)) * rng.uniform(0, 0.05, size=(10_000, 1))).astype(np.float32)
+    v[5000], v[7000] = v[4000], v[4000]  # repeated rows
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>").repartition(8)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    x, y = np.nonzero(np.triu(close))
+    root = components(range(10_000), zip(x.tolist(), y.tolist()))
+    for slack in (1.0, 0.5):
+        got = {r.vec_id: r for r in pq_dedup.near_duplicates(df, slack=slack, list_size=100, tile=256).collect()}
+        links = np.array([got[i].n_links for i in range(10_000)])
+        print("pq: slack", slack, "links found", links.sum(), "of", close.sum())
+        assert (links <= close.sum(1)).all() and links.sum() >= 0.99 * close.sum()
+        if slack == 1:
+            assert (links == close.sum(1)).all() and all(got[i].component_id == root[i] for i in root)
+
+
 def test_embeddings_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert_same(rows_of(registry.op1_pq_near_dedup(spark, sf)), duck(sf, pq_dedup.ORACLE, ["embeddings"]))

@@ -3,13 +3,17 @@
 import pytest
 
 import corpus_pipeline
-from tests.llm.brute import components, fingerprint, suffix_repeats
+from tests.llm.brute import suffix_repeats
+from tests.llm.test_near_duplicates import table
+from tests.llm.test_similar import all_pairs
 from vectide.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.seconds(150)
+pytestmark = pytest.mark.seconds(240)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [docs]
@@ -23,11 +27,8 @@ def test_stages(spark):
     gone = {r.doc_id for r in before.collect()} - ids
     assert not [i for i in gone if toxic.get(i) == 0]
 
-    texts = {r.doc_id: r.text for r in clean.collect()}
-    fps = {i: fingerprint(t) for i, t in texts.items()}
-    order = sorted(fps)
-    links = [(a, b) for n, a in enumerate(order) for b in order[n + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 4]
-    assert {r.doc_id for r in single.collect()} == set(components(order, links).values())
+    _, root = all_pairs([(r.doc_id, r.text) for r in clean.collect()])  # five words, similarity 0.8
+    assert {r.doc_id for r in single.collect()} == set(root.values())
 
     left = [(r.doc_id, r.text) for r in single.collect()]
     wanted = suffix_repeats(left)
@@ -46,3 +47,17 @@ def test_stages(spark):
     assert {r.doc_id: r["count"] for r in firsts} == copies
     sizes = packed.selectExpr("sequence_id", "offset + length as ends", "length").groupBy("sequence_id").agg({"ends": "max", "length": "sum"}).collect()
     assert all(r["max(ends)"] == r["sum(length)"] <= 2048 for r in sizes)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and clashing column names pass through all stages."""
+    texts = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "d e f g h i"), (5, "word " * 30_000), (6, "some other text here, longer than fifty bytes for sure, yes")]
+    docs = table(spark, texts).unionByName(table(spark, [(7, "x y z")]).selectExpr("doc_id", "text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as long) as n_chars", "fp", "id", "k", "`row`", "component_id", "size", "copies"))
+    spark.createDataFrame([(1, 0), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before = rows
+            rows = materialize(stage(spark, rows, str(tmp_path)), name)
+            if name != "pattern_packing":
+                assert rows.columns == before.columns
+        assert (rows.count() > 0) == (before.count() > 0)

@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,6 +34,57 @@ def test_voronoi_odd_rows(spark):
     assert voronoi.search_every_nth(df.where("vec_id = 50")).count() == 0
 
 
+def test_voronoi_lengths_and_repeats(spark):
+    """Vectors of another length than most take no part; a repeated query is one query, repeated data are candidates each."""
+    rows = [(i, [float(i % 7), 1.0], 1) for i in range(60)] + [(50, [1.0, 1.0], 1), (7, [0.0, 1.0], 1), (100, [1.0], 1), (70, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int")
+    got = voronoi.search_every_nth(df).collect()
+    assert {r.query_id for r in got} == {0, 50} and len(got) == 10
+    assert all(r.vec_id != r.query_id and r.vec_id not in (70, 100) for r in got)
+
+
+def test_voronoi_leaves_out_rows_of_other_clusters(spark):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(20, 16))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    x = np.floor(256 * (centers[np.arange(4000) % 20] + rng.normal(size=(4000, 16)) * 0.02))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<double>")
+    queries = rows.where("vec_id % 20 < 10")
+    asked, cells = voronoi.query_cells(queries, 32, 64)
+    group = voronoi.neighbour_groups(cells, 200)
+    share = voronoi.wanted_rows(rows, cells, group, 5).count() / (4000 * len(set(group)))
+    print("voronoi: share of rows replicated to each of", len(set(group)), "groups", share)
+    assert share < 0.5
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in voronoi.top_inner_products(rows, queries, group_queries=200, rows_per_task=500).collect()}
+    for q in [i for i in range(4000) if i % 20 < 10]:
+        s = (x @ x[q]).astype(int)
+        s[q] = -(10**9)
+        best = sorted(range(4000), key=lambda i: (-s[i], i))[:5] if q % 400 == 0 else None
+        for n, i in enumerate(best or []):
+            assert got[q, n + 1] == (i, s[i])
+
+
+def test_long_words(spark):
+    """Words of many chunks: letters without a blank, and runs that never meet the states of a fresh start."""
+    rng = np.random.default_rng(2)
+    syllables = ["ba", "ne", "tion", "the", "ing", "ö", "re"]
+    some = ["".join(rng.choice(syllables, 20_000)), "x" * 5001, "ab" * 3000, "-" * 4000, "=-" * 2000, "aaaab" * 900, "z" * 513, "東京" * 1500]
+    library = Tokenizer.from_file(registry.tokenizer_path())
+    got = {r.doc_id: r.n_tokens for r in bpe_transducer.count_tokens(table(spark, list(enumerate(some))), registry.tokenizer_path()).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(some)}
+    spec = bpe_transducer.load_spec(registry.tokenizer_path())
+    ids, bounds = bpe_transducer.Tokenizer(spec).ids(pa.array(some))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = table(spark, [(1, "a b"), (1, "a b"), (None, "c"), (None, None)])
+    path = registry.tokenizer_path()
+    assert sorted((r.n_bytes, r.n_tokens) for r in bpe_transducer.count_tokens(docs, path).collect()) == [(0, 0), (1, 1), (3, 2), (3, 2)]
+    packed = packing.pack_documents(docs, path).collect()
+    assert sorted(r.length for r in packed) == [1, 2, 3, 3] and len({(r.sequence_id, r.offset) for r in packed}) == 4
+
+
 def test_mixing_against_sql(spark):
     assert_same(rows_of(registry.op5_source_mixing(spark, SF)), duck(SF, mixing.ORACLE, ["documents"]))
 

@@ -18,9 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where all run on one machine (tests) and none is
+    set, a temporary one; on a cluster that is an error, as executors do not see the driver's folders."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='vectide-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -137,11 +141,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of `edges` (a long, b long): rows (node, component) for every node of an edge,
     where component is the smallest node reachable.
 
-    Alternates large-star and small-star contraction. Every round is written to the shared folder, minima are
+    Alternates large-star and small-star contraction until a round changes nothing: each edge then leads to the smallest
+    node of its component, and the number of rounds grows with the logarithm of the longest path. Every round is written to the shared folder, minima are
     aggregated before they are shuffled, and hubs meet their minimum in a join that AQE may split. No link or
     component passes the driver; it only sees one checksum a round.
     """
@@ -155,9 +160,7 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, f"{name}-edges")
     seen = state(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = minima(both).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -169,7 +172,5 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

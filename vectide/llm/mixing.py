@@ -78,12 +78,14 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, most: int = MOST) -> Da
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it. Rows that share an id also share copies by their text's size."""
+    """The rows of `docs`, each as often as the mix takes it; a row that is not taken goes. Null texts have size 0, null ids
+    and sources are a value like any other, an empty table stays empty. Among rows of one id, source and size the smaller
+    numbers of copies go to the smaller hashes of their texts, so reruns agree."""
     counted = expected_copies(docs, seed, weights, most)
-    within = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    counted = counted.where("copies > 0").withColumn("__nth", F.row_number().over(within))
+    within = Window.partitionBy("doc_id", "source", "size").orderBy("copies")
+    counted = counted.withColumn("__nth", F.row_number().over(within)).where("copies > 0")
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    numbered = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.lit(0))))
+    numbered = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))))
     counted = counted.select("doc_id", "source", F.col("size").alias("__size"), "__nth", F.col("copies").alias("__copies"))
     taken = null_safe_join(numbered, counted, ["doc_id", "source", "__size", "__nth"])
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")

@@ -171,8 +171,9 @@ def _firsts(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> D
 
 
 def near_dedup(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each group of near-duplicates the one with the smallest id (one row of it if it
-    repeats). Columns are those of `docs`."""
+    """The rows of `docs` that stay: of each group of near-duplicates the one with the smallest id, with the columns of
+    `docs`. Rows are kept by id: where an id has several texts all of them stay if one of them is the smallest of its group,
+    and equal rows of it are one. Null texts count as empty; null ids form a group's rest only where nothing else is in it."""
     return _firsts(docs, simhash_groups(docs, distance, id_col=id_col, text_col=text_col), id_col, text_col)
 
 
@@ -416,6 +417,6 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
 
 
 def similar_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each group of similar_groups the one with the smallest id (one row of it if it
-    repeats). Columns are those of `docs`."""
+    """The rows of `docs` that stay: of each group of similar_groups the one with the smallest id, by the rules of
+    near_dedup."""
     return _firsts(docs, similar_groups(docs, similarity, shingle, id_col=id_col, text_col=text_col), id_col, text_col)

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialize
+from vectide.llm.common import hash_sample, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
@@ -66,12 +66,27 @@ def lexical(pages: DataFrame) -> DataFrame:
     return pages.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in found.items()} | {"tld": _suffix(F.col("host"), 1), "domain": _suffix(F.col("host"), 2)})
 
 
+def with_suffix_rates(rows: DataFrame, label: Column, prior: float, smoothing: float) -> DataFrame:
+    """Adds, for the last label and the last two labels of the host, the smoothed share of blocked URLs and the log count
+    among labelled rows. A labelled row sees only what rows of the other half (by hash of its URL) say, so its own label
+    never becomes a feature of it."""
+    half = F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(2))
+    rows = rows.withColumn("__half", F.when(label.isNotNull(), half))
+    for key in ("tld", "domain"):
+        in_half = lambda h, what: F.coalesce(F.sum(F.when(F.col("__half") == h, what)), F.lit(0.0))
+        counted = rows.where("__half is not null").groupBy(key).agg(*[in_half(h, F.lit(1.0)).alias(f"__n{h}") for h in (0, 1)], *[in_half(h, label).alias(f"__b{h}") for h in (0, 1)])
+        rows = rows.join(counted, key, "left")
+        seen = lambda c: F.coalesce(F.when(F.col("__half") == 0, F.col(f"__{c}1")).when(F.col("__half") == 1, F.col(f"__{c}0")).otherwise(F.col(f"__{c}0") + F.col(f"__{c}1")), F.lit(0.0))
+        rows = rows.withColumns({f"{key}_rate": (seen("b") + smoothing * prior) / (seen("n") + smoothing), f"{key}_count": F.log1p(seen("n"))}).drop("__n0", "__n1", "__b0", "__b1")
+    return rows.drop("__half")
+
+
 def judge(pages: DataFrame, rules=RULES, train_rows: int = 8192, trees: int = 12, depth: int = 4, smoothing: float = 20.0, seed: int = 5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row: the longest fitting rule's verdict, else the model's.
 
     URLs that a rule judges are the labelled ones. Suffix statistics (smoothed share of blocked URLs and log count, by
-    last label and by last two labels of the host) are counted over all of them; the trees are fitted on at most
-    `train_rows` labelled URLs, chosen by hash. score is the model's probability of block, for every row; without
+    last label and by last two labels of the host) are counted over all of them, for a labelled URL over the other half of
+    them; the trees are fitted on at most `train_rows` labelled URLs, chosen by hash. score is the model's probability of block, for every row; without
     labels of both kinds it is the share of blocked labels (0 if there are none) and decides alone. Null and malformed
     URLs have empty host and path, fit no rule and are judged by the model; repeated rows give a row each.
     """
@@ -84,15 +99,10 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = 8192, trees: int = 12
     overall = labelled.agg(F.count("*"), F.avg(label)).first()
     prior = float(overall[1] or 0.0)
 
-    def statistics(key: str) -> DataFrame:
-        rate = (F.sum(label) + F.lit(smoothing * prior)) / (F.count("*") + smoothing)
-        return labelled.groupBy(key).agg(rate.alias(f"{key}_rate"), F.log1p(F.count("*").cast("double")).alias(f"{key}_count"))
-
-    for key in ("tld", "domain"):
-        rows = rows.join(statistics(key), key, "left").withColumns({f"{key}_rate": F.coalesce(f"{key}_rate", F.lit(prior)), f"{key}_count": F.coalesce(f"{key}_count", F.lit(0.0))})
+    rows = with_suffix_rates(rows, label, prior, smoothing)
     if 0 < prior < 1:
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        chosen = rows.where("rule is not null").orderBy(F.xxhash64("url", "page_id"), "page_id").limit(train_rows)
+        chosen = hash_sample(rows.where("rule is not null"), ["url", "page_id"], train_rows)
         train = materialize(chosen.select(label.alias("label"), *FEATURES), "url-train")
         model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32).fit(assemble.transform(train).select("features", "label"))
         rows = model.transform(assemble.transform(rows)).withColumn("score", vector_to_array("probability")[1])
