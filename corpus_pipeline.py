@@ -12,7 +12,8 @@ from vectide.llm.registry import labels, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic, learnt from all labelled rows among `docs`."""
+    """Documents that the classifier does not call toxic, learnt from a bounded sample of the labelled rows
+    among `docs`. Null texts count as empty, repeated rows go or stay together; with no labels every document stays."""
     known = labels(spark, sf_dir)
     model = toxicity.fit(toxicity.training_rows(docs, known, folds=1, held_out=1))
     return toxicity.keep_clean(docs, model)
@@ -30,12 +31,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, at most three times; null sources are a source."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document: where it lies in which sequence. Copies of a document have rows of their own."""
+    """A row per piece of a document: where it lies in which sequence. Copies of a document have rows of their own,
+    null texts are a piece of one token."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
