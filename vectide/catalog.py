@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vectide.functions import text as T
 from vectide.functions import vectors as V
 from vectide.operators import clustering, codecs, evaluate, index, search
-from vectide.plans import workflow
+from vectide.plans import graph, workflow
 from vectide.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,38 +587,83 @@ def middle_out(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.middle_out(F.col("text"), 20).alias("prompt"))
 
 
-@query("workflow_sequential")
+def _sql_encoded(name: str) -> str:
+    """Unit vectors {name}_u (id, b, x) of the texts {name} (id, text)."""
+    return f"""{name}_n AS (SELECT id, b, count(*) AS c FROM (SELECT id, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % 64 AS b FROM (SELECT id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word FROM {name})) GROUP BY ALL),
+    {name}_u AS (SELECT id, b, c / len AS x FROM {name}_n JOIN (SELECT id, sqrt(sum(c * c)) AS len FROM {name}_n GROUP BY id) USING (id))"""
+
+
+def _sql_retrieved(name: str, k: int) -> str:
+    """{name}_r (id, refs): the documents found for the texts {name} (id, text), as a prompt shows them."""
+    return _sql_encoded(name) + f""", {name}_r AS (SELECT q_id AS id, string_agg('Doc ' || rank || '(Title: ' || split_part(text, chr(10), 1) || ') ' || substr(text, len(split_part(text, chr(10), 1)) + 2) || chr(10), '' ORDER BY rank) AS refs
+    FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.id AS q_id, d.id AS vec_id, round(sum(q.x * d.x), 9) AS score FROM {name}_u q JOIN d_u d USING (b) GROUP BY ALL)) JOIN d ON d.id = vec_id WHERE rank <= {k} GROUP BY q_id)"""
+
+
+def _sql_said(prompt: str) -> str:
+    """The built-in generator."""
+    return f"array_to_string(regexp_split_to_array(trim({prompt}, ' '), '\\s+')[-12:], ' ')"
+
+
+def _sql_answer(question: str = "question") -> str:
+    return _sql_said(f"'Documents:' || chr(10) || refs || 'Question: ' || {question}")
+
+
+SQL_DOCS = "WITH d AS (SELECT doc_id AS id, text FROM documents), " + _sql_encoded("d") + ", q0 AS (SELECT item_id AS id, text AS question, text FROM benchmark), "
+SQL_SEQUENTIAL = lambda k: _sql_retrieved("q0", k) + f", sequential AS (SELECT id, {_sql_answer()} AS answer FROM q0 JOIN q0_r USING (id))"
+SQL_COMPRESSED = f"s1 AS (SELECT id, question, {_sql_said("'Summarise for: ' || question || chr(10) || refs")} AS step FROM q0 JOIN q0_r USING (id)), recomp AS (SELECT id, {_sql_said("'Summary: ' || step || chr(10) || 'Question: ' || question")} AS answer FROM s1)"
+SQL_RECOMP = _sql_retrieved("q0", 1) + ", " + SQL_COMPRESSED
+SQL_HYDE = f"q1 AS (SELECT id, question, {_sql_said("'Write a passage for: ' || question")} AS text FROM q0), " + _sql_retrieved("q1", 1) + f", hyde AS (SELECT id, {_sql_answer()} AS answer FROM q1 JOIN q1_r USING (id))"
+SQL_ITERATIVE = _sql_retrieved("q0", 1) + f", q1 AS (SELECT id, {_sql_answer()} AS text FROM q0 JOIN q0_r USING (id)), " + _sql_retrieved("q1", 1) + f", iterative AS (SELECT id, q1.text || {_sql_answer('q1.text')} AS answer FROM q1 JOIN q1_r USING (id))"
+SQL_ASK = _sql_said("'Earlier: ' || reasoning || chr(10) || 'Next question for: ' || question")
+SQL_MULTISTEP = (
+    f"q1 AS (SELECT id, question, reasoning, {SQL_ASK} AS text FROM (SELECT *, '' AS reasoning FROM q0)), " + _sql_retrieved("q1", 1)
+    + f", a1 AS (SELECT id, question, text, {_sql_answer('text')} AS step FROM q1 JOIN q1_r USING (id) WHERE NOT contains(text, 'None')), q2 AS (SELECT id, question, step, {SQL_ASK} AS text FROM (SELECT id, question, step, text || ' ' || step || chr(10) AS reasoning FROM a1)), "
+    + _sql_retrieved("q2", 1) + f", a2 AS (SELECT id, {_sql_answer('text')} AS answer FROM q2 JOIN q2_r USING (id) WHERE NOT contains(text, 'None')), multistep AS (SELECT * FROM a2 UNION ALL SELECT id, '' FROM q1 WHERE contains(text, 'None') UNION ALL SELECT id, step FROM q2 WHERE contains(text, 'None'))"
+)
+
+
+def _sql_workflow(name: str, chain: str) -> str:
+    return SQL_DOCS + chain + f" SELECT id, '{name}' AS workflow, answer FROM {name}"
+
+
+@query("workflow_sequential", _sql_workflow("sequential", SQL_SEQUENTIAL(2)), tables=False)
 def workflow_sequential(spark, d):
     return workflow.run(_questions(spark, d), workflow.sequential(2), corpus(spark, d))
 
 
-@query("workflow_hyde")
+@query("workflow_hyde", _sql_workflow("hyde", SQL_HYDE), tables=False)
 def workflow_hyde(spark, d):
     return workflow.run(_questions(spark, d), workflow.hyde(), corpus(spark, d))
 
 
-@query("workflow_recomp")
+@query("workflow_recomp", _sql_workflow("recomp", SQL_RECOMP), tables=False)
 def workflow_recomp(spark, d):
     return workflow.run(_questions(spark, d), workflow.recomp(), corpus(spark, d))
 
 
-@query("workflow_iterative")
+@query("workflow_iterative", _sql_workflow("iterative", SQL_ITERATIVE), tables=False)
 def workflow_iterative(spark, d):
     return workflow.run(_questions(spark, d), workflow.iterative(1, 2), corpus(spark, d))
 
 
-@query("workflow_multistep")
+@query("workflow_multistep", _sql_workflow("multistep", SQL_MULTISTEP), tables=False)
 def workflow_multistep(spark, d):
     return workflow.run(_questions(spark, d), workflow.multistep(1, 2), corpus(spark, d))
 
 
-@query("workflow_mixed")
+@query("workflow_mixed", SQL_DOCS + SQL_SEQUENTIAL(1) + ", " + SQL_COMPRESSED + " SELECT id, 'sequential' AS workflow, answer FROM sequential WHERE id % 4 < 1 UNION ALL SELECT id, 'recomp', answer FROM recomp WHERE id % 4 >= 1", tables=False)
 def workflow_mixed(spark, d):
     flows = {"sequential": workflow.sequential(), "recomp": workflow.recomp()}
     requests = _questions(spark, d).withColumn("workflow", F.when(F.col("id") % 4 < 1, "sequential").otherwise("recomp"))
     return workflow.run_mixed(requests, flows, corpus(spark, d))
 
 
+@query("workflow_graph", _sql_workflow("multistep", SQL_MULTISTEP).replace("'multistep' AS workflow, answer", "'multistep_graph' AS workflow, answer"), tables=False)
+def workflow_graph(spark, d):
+    """The multi-step workflow as a graph with a conditional edge and one that leads back."""
+    return graph.run(_questions(spark, d), graph.multistep(1, 2), corpus(spark, d), rounds=4).drop("passed")
+
+
 # --- events -----------------------------------------------------------------------------------------------------------
 
 
@@ -632,6 +677,13 @@ def event_sessions(spark, d):
     return windows.sessions(spark.read.parquet(f"{d}/events.parquet"))
 
 
+@query("arrivals", "SELECT event_id AS id, round(sum(-ln(1 - CAST(('0x' || substr(md5(event_id || '|2025'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE) / 8) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 5) AS start_time FROM events WHERE event_id < 512", tables=False)
+def arrivals(spark, d):
+    """Start times of the 512 requests of an experiment at eight a second."""
+    requests = spark.read.parquet(f"{d}/events.parquet").where("event_id < 512").select(F.col("event_id").alias("id"))
+    return _rounded(windows.arrivals(requests, 8.0), "start_time")
+
+
 @query("kmeans")
 def kmeans(spark, d):
     """Centroids of ten clusters of all vectors after eight rounds."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import text as T
 from vectide.operators import search
+from vectide.operators.search import plain_unions
 
 STOP = "None"
 
@@ -25,13 +26,20 @@ def extractive(prompt: Column) -> Column:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Documents with their embeddings: (vec_id, embedding, text)."""
+    """Documents with their embeddings: (vec_id, embedding, text). Every retrieval reads `rows`: give a written table (see
+    `stored`), or each encodes the documents anew."""
 
     rows: DataFrame
     encode: Callable[[DataFrame], DataFrame]  # (id, text) -> (id, embedding)
     metric: str = "inner_product"
 
 
+def stored(rows: DataFrame, encode: Callable[[DataFrame], DataFrame], path: str, metric: str = "inner_product") -> Corpus:
+    """A corpus whose encoded rows are written once."""
+    rows.write.mode("overwrite").parquet(path)
+    return Corpus(rows.sparkSession.read.schema(rows.schema).parquet(path), encode, metric)
+
+
 @dataclass(frozen=True)
 class Retrieve:
     """Sets `documents` to the k nearest texts of column `query`."""
@@ -75,7 +83,7 @@ class Workflow:
 
 def _retrieve(requests: DataFrame, node: Retrieve, corpus: Corpus) -> DataFrame:
     asked = corpus.encode(requests.select(F.col("id"), F.col(node.query).alias("text"))).select(F.col("id").alias("q_id"), "embedding")
-    hits = search.knn(asked, corpus.rows, node.k, corpus.metric)
+    hits = search.knn(asked, corpus.rows, node.k, corpus.metric, digits=9)
     texts = hits.join(corpus.rows.select("vec_id", "text"), "vec_id")
     lists = texts.groupBy(F.col("q_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("documents"))
     return requests.drop("documents").join(lists, "id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
@@ -106,14 +114,19 @@ def _apply(requests: DataFrame, nodes: tuple, corpus: Corpus) -> DataFrame:
     return requests
 
 
+def start(requests: DataFrame) -> DataFrame:
+    """The state of requests (id, question) before the first step."""
+    return requests.select("id", "question", F.col("question").alias("query"), F.array().cast("array<string>").alias("documents"), F.lit("").alias("answer"), F.lit("").alias("reasoning"), F.lit("").alias("step"))
+
+
 def run(requests: DataFrame, workflow: Workflow, corpus: Corpus) -> DataFrame:
     """(id, workflow, answer) for every request (id, question). State: query, documents, answer, reasoning, step."""
-    start = requests.select("id", "question", F.col("question").alias("query"), F.array().cast("array<string>").alias("documents"), F.lit("").alias("answer"), F.lit("").alias("reasoning"), F.lit("").alias("step"))
-    return _apply(start, workflow.nodes, corpus).select("id", F.lit(workflow.name).alias("workflow"), "answer")
+    return _apply(start(requests), workflow.nodes, corpus).select("id", F.lit(workflow.name).alias("workflow"), "answer")
 
 
 def run_mixed(requests: DataFrame, workflows: dict[str, Workflow], corpus: Corpus) -> DataFrame:
     """Requests (id, question, workflow) of several workflows in one plan."""
+    plain_unions(requests.sparkSession)
     parts = [run(requests.where(F.col("workflow") == name), w, corpus) for name, w in workflows.items()]
     out = parts[0]
     for p in parts[1:]:

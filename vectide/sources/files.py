@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,28 @@ def read_questions(spark: SparkSession, path: str, count: int | None = None, ran
     return rows if count is None else rows.orderBy(F.xxhash64("id", F.lit(seed)) if random else F.col("id")).limit(count)
 
 
+def splits(spark: SparkSession, folder: str, names: tuple[str, ...] = ("train", "dev", "test")) -> dict[str, DataFrame]:
+    """The question sets of a folder by split: those of train.jsonl, dev.jsonl and test.jsonl that can be read."""
+    found = {}
+    for name in names:
+        try:
+            found[name] = read_questions(spark, f"{folder}/{name}.jsonl")
+        except AnalysisException:  # there is no such file
+            continue
+    return found
+
+
+def read_vectors(spark: SparkSession, paths: list[str], first: int | None = None, share: float | None = None, seed: int = 1234) -> DataFrame:
+    """(vec_id, embedding) of several Parquet files as one table; the `first` rows by id, or a `share` of them by hash of it."""
+    rows = spark.read.parquet(*paths).select("vec_id", "embedding")
+    if share is not None:
+        rows = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return rows if first is None else rows.orderBy("vec_id").limit(first)
+
+
 def fetch(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Hits (q_id, rank, doc_id) with their texts; hits without a document keep a null text."""
+    """Hits (q_id, rank, doc_id) with their texts; hits without a document keep a null text. A document found by several
+    hits comes once for each; order the result by q_id and rank."""
     return hits.join(corpus.select("doc_id", "text"), "doc_id", "left")
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def arrivals(requests: DataFrame, rate: float, seed: int = 2025) -> DataFrame:
-    """Adds start_time: exponential gaps summed in order of id. An experiment has few requests: the sum runs in one task."""
-    gap = -F.ln(1 - F.rand(seed)) / F.lit(rate)
+    """Adds start_time: exponential gaps summed in order of id. Gaps come from a hash of id and seed, so reruns agree. An
+    experiment has some hundred requests: the sum runs in one task."""
+    share = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    gap = -F.ln(1 - share) / F.lit(rate)
     return requests.withColumn("gap", gap).withColumn("start_time", F.sum("gap").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
 
 
@@ -34,3 +38,26 @@ def search_stream(requests: DataFrame, answer, sink_path: str, checkpoint: str):
         answer(batch).write.mode("append").parquet(sink_path)
 
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_best(hits: DataFrame, k: int, last_stage: int) -> DataFrame:
+    """(q_id, stage, vec_ids, scores): a stream of partial results (q_id, stage, vec_id, score) of searches that go on in
+    mini-batches. The state of a request is its k best so far; a row comes out each time it moves, and with the last stage
+    the state goes."""
+
+    def step(key, frames, state: GroupState):
+        ids, scores, stage = (list(x) for x in state.get) if state.exists else ([], [], [-1])
+        for frame in frames:
+            ids += frame["vec_id"].tolist()
+            scores += frame["score"].tolist()
+            stage = [max(stage[0], int(frame["stage"].max()))]
+        best = sorted(zip(scores, ids))[:k]
+        ids, scores = [i for _, i in best], [s for s, _ in best]
+        if stage[0] >= last_stage:
+            state.remove()
+        else:
+            state.update((ids, scores, stage))
+        yield pd.DataFrame({"q_id": [key[0]], "stage": stage, "vec_ids": [ids], "scores": [scores]})
+
+    kept = "vec_ids array<long>, scores array<double>, stage array<long>"
+    return hits.groupBy("q_id").applyInPandasWithState(step, "q_id long, stage long, vec_ids array<long>, scores array<double>", kept, "update", GroupStateTimeout.NoTimeout)
