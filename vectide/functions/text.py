@@ -54,19 +54,28 @@ def middle_out(text: Column, most: int) -> Column:
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, id, tf, dl): postings."""
-    exploded = docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("term"))
-    tf = exploded.groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return tf.join(docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text_col))).alias("dl")), "id").select("term", "id", "tf", "dl")
+    listed = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    exploded = listed.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    return exploded.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).select("term", "id", "tf", "dl")
 
 
-def bm25(queries: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(q_id, id, score, rank): the k best documents of each query (q_id, text); a query's word counts once."""
-    sizes = postings.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+def bm25_sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(n, avgdl): one row, over the documents that have words."""
+    dl = F.size(words(F.col(text_col)))
+    return docs.select(dl.alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25(queries: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
+    """(q_id, id, score, rank): the k best documents of each query (q_id, text); a query's word counts once. `sizes` is what
+    bm25_sizes() tells of the documents; without it, it is taken from the postings. Only postings of asked words go on."""
+    if sizes is None:
+        sizes = postings.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("q_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    wanted = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = asked.join(df, "term").join(postings, "term").join(F.broadcast(sizes))
+    hits = asked.join(df, "term").join(wanted, "term").join(F.broadcast(sizes))
     scored = hits.groupBy("q_id", "id").agg(F.sum(weight).alias("score"))
     order = Window.partitionBy("q_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
