@@ -268,7 +268,7 @@ def _shown(coded: DataFrame) -> DataFrame:
 
 def _ranged(name: str, bits: int, low: str, width: str, trained) -> None:
     n = (1 << bits) - 1
-    own = f"& t AS (SELECT i, {low} AS lo, {width} AS w FROM e, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY i), g AS (SELECT vec_id, i - 1 AS pos, CAST(floor(CASE WHEN w = 0 THEN 0 ELSE least(greatest((v[i] - lo) / w, 0), 1) END * {n}) AS INTEGER) AS code, lo, w FROM e, t) SELECT vec_id, pos, code, round(lo + w * (code + 0.5) / {n}, 5) AS x FROM g"
+    own = f"& t AS (SELECT i, {low} AS lo, {width} AS w FROM e, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY i), g AS (SELECT vec_id, i - 1 AS pos, CAST(floor(CASE WHEN w = 0 THEN 0 ELSE least(greatest((v[i] - lo) / w, 0), 1) END * {n}) AS INTEGER) AS code, lo, w FROM e, t) SELECT vec_id, pos, code, round(lo + w * (code + 0.5) / {n}, 5) + 0.0 AS x FROM g"
 
     @query(name, own)
     def run(spark, d):
