@@ -33,6 +33,6 @@ def _not_forever(request):
         raise TimeoutError("test took too long")
 
     signal.signal(signal.SIGALRM, stop)
-    signal.alarm(limit.args[0] if limit else 40)
+    signal.alarm(limit.args[0] if limit else 90)
     yield
     signal.alarm(0)
