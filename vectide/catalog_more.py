@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.catalog import PROBES, SQ, SQL_METRIC, WORDS, _coded, _hamming, _range, _rounded, _sq, _top, asked, centroids, lists, probed, query, rows
+from vectide.catalog import PROBES, SQL_METRIC, WORDS, _hamming, _range, _rounded, _sq, _top, asked, centroids, lists, probed, query, rows
 from vectide.functions import text as T
 from vectide.functions import vectors as V
 from vectide.operators import codecs, evaluate, index, quantizers, search, transforms
