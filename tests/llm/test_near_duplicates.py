@@ -155,6 +155,14 @@ def test_embeddings_of_many_lists(spark):
             assert (links == close.sum(1)).all() and all(got[i].component_id == root[i] for i in root)
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Each length is searched by itself; repeated and null ids."""
+    rows = [(i, [1.0, i / 100]) for i in range(20)] + [(100, [3.0, 2.0, 1.0]), (101, [3.0, 2.0, 1.001]), (102, [-3.0, 2.0, 1.0]), (103, [2.0]), (103, [2.0]), (None, [5.0]), (104, [-2.0])]
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id, r.kept) for r in pq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    two = [(i, 19, 0, i == 0) for i in range(20)]
+    assert got == [(-1, 2, 103, False), *two, (100, 1, 100, True), (101, 1, 100, False), (102, 0, 102, True), (103, 2, 103, True), (103, 2, 103, True), (104, 0, 104, True)]
+
+
 def test_embeddings_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert_same(rows_of(registry.op1_pq_near_dedup(spark, sf)), duck(sf, pq_dedup.ORACLE, ["embeddings"]))

@@ -35,12 +35,14 @@ def test_voronoi_odd_rows(spark):
 
 
 def test_voronoi_lengths_and_repeats(spark):
-    """Vectors of another length than most take no part; a repeated query is one query, repeated data are candidates each."""
+    """Vectors meet those of their own length; a repeated query is one query, repeated data are candidates each."""
     rows = [(i, [float(i % 7), 1.0], 1) for i in range(60)] + [(50, [1.0, 1.0], 1), (7, [0.0, 1.0], 1), (100, [1.0], 1), (70, [], 1)]
+    rows += [(i, [float(i % 3), 0.0, 1.0], 1) for i in range(200, 208)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int")
     got = voronoi.search_every_nth(df).collect()
-    assert {r.query_id for r in got} == {0, 50} and len(got) == 10
+    assert {r.query_id for r in got} == {0, 50, 200} and len(got) == 15
     assert all(r.vec_id != r.query_id and r.vec_id not in (70, 100) for r in got)
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 200] == [(1, 203, 5 * 65536), (2, 206, 5 * 65536), (3, 202, 3 * 65536), (4, 205, 3 * 65536), (5, 201, 65536)]
 
 
 def test_voronoi_leaves_out_rows_of_other_clusters(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,39 +18,11 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.95, train_rows: int = 16_384, list_size: int = 200, max_lists: int = 4096, subspaces: int = 16, slack: float = 0.5, tile: int = 2048, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): vectors linked by cosine >= threshold.
-
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so does one of another
-    dimension than most of the sample. Equal vectors are one class (they link with cosine 1), searched once and counted
-    with its size. Null ids form no class of their own: a null id is counted like any other row and is only ever a
-    component_id where nothing else is reachable.
-
-    The index is fitted on at most `train_rows` distinct vectors: coarse centroids, about one for `list_size` vectors,
-    and `subspaces` codebooks of 256 residual codes. Every vector is coded and stored in its nearest list with its exact
-    coding error. A query probes each list whose boundary is within `slack` times the largest distance of a linked pair;
-    slack = 1 makes probing exact, 0.5 misses a pair only if its difference points at a boundary about four times as
-    much as a random direction would in 64 dimensions, from both of its ends. In a list, table-lookup distances keep what
-    may be within the threshold given the coding error, and the exact cosine in double precision decides. A pair that
-    both ends could find is taken where its smaller class asks, one that only one end finds there; either way both ends
-    count it. Lists of more than `tile` rows are cut in chunks, so that no list has to fit in one task; a task reports
-    counts and a spanning forest, not pairs. Above `max_lists` * `list_size` vectors lists get longer instead of more.
-    """
-    spark = vectors.sparkSession
-    x = F.col(vector_col)
-    good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(x, lambda c: c != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, x).alias("v"))
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
-    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
-    total = classes.count()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not total:
-        return alone
-    sample = hash_sample(classes.select("v"), ["v"], train_rows).toPandas()["v"]
-    dim = int(np.bincount([len(v) for v in sample]).argmax())
-    train = np.array([v for v in sample if len(v) == dim], np.float64)
+def _links(classes: DataFrame, dim: int, threshold: float, train_rows: int, list_size: int, max_lists: int, subspaces: int, slack: float, tile: int, seed: int) -> DataFrame:
+    """(cls, links, a, b) of classes (cls, n, v) of one length: rows with how many vectors a class links to, once a task
+    that found any, and rows with the edges of spanning forests."""
+    spark, total = classes.sparkSession, classes.count()
+    train = np.array([*hash_sample(classes.select("v"), ["v"], train_rows).toPandas()["v"]], np.float64)
     train = train / np.abs(train).max(1, keepdims=True)
     train = train / np.linalg.norm(train, axis=1, keepdims=True)
     lists = int(min(max_lists, max(1, len(train) // 4), max(1, -(-total // list_size))))
@@ -68,8 +42,6 @@ def near_duplicates(
     def index(batches):
         coarse, books, edges = shared.value
         for batch in batches:
-            fits = np.diff(batch.column("v").offsets.to_numpy()) == dim
-            batch = batch.filter(pa.array(fits))
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 u = _unit(part.column("v"))
@@ -172,7 +144,40 @@ def near_duplicates(
         if held is not None:
             yield from solve(held)
 
-    found = materialize(dealt.mapInArrow(search, "cls long, links long, a long, b long"), "pq-links")
+    return materialize(dealt.mapInArrow(search, "cls long, links long, a long, b long"), "pq-links")
+
+
+def near_duplicates(
+    vectors: DataFrame, threshold: float = 0.95, train_rows: int = 16_384, list_size: int = 200, max_lists: int = 4096, subspaces: int = 16, slack: float = 0.5, tile: int = 2048, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
+    """(vec_id, n_links, component_id, kept): vectors linked by cosine >= threshold.
+
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors of different length
+    do not link; each length has an index of its own. Equal vectors are one class (they link with cosine 1), searched once and counted
+    with its size. Null ids form no class of their own: a null id is counted like any other row and is only ever a
+    component_id where nothing else is reachable.
+
+    The index is fitted on at most `train_rows` distinct vectors: coarse centroids, about one for `list_size` vectors,
+    and `subspaces` codebooks of 256 residual codes. Every vector is coded and stored in its nearest list with its exact
+    coding error. A query probes each list whose boundary is within `slack` times the largest distance of a linked pair;
+    slack = 1 makes probing exact, 0.5 misses a pair only if its difference points at a boundary about four times as
+    much as a random direction would in 64 dimensions, from both of its ends. In a list, table-lookup distances keep what
+    may be within the threshold given the coding error, and the exact cosine in double precision decides. A pair that
+    both ends could find is taken where its smaller class asks, one that only one end finds there; either way both ends
+    count it. Lists of more than `tile` rows are cut in chunks, so that no list has to fit in one task; a task reports
+    counts and a spanning forest, not pairs. Above `max_lists` * `list_size` vectors lists get longer instead of more.
+    """
+    x = F.col(vector_col)
+    good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(x, lambda c: c != 0)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, x).alias("v"))
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
+    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if classes.isEmpty():
+        return alone
+    lengths = sorted(r[0] for r in classes.select(F.size("v")).distinct().collect())  # one row a length
+    each = [_links(classes.where(F.size("v") == dim), dim, threshold, train_rows, list_size, max_lists, subspaces, slack, tile, seed) for dim in lengths]
+    found = reduce(lambda a, b: a.unionByName(b), each)
     links = found.where("cls is not null").groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(found.where("a is not null").select("a", "b"), "pq").withColumnRenamed("node", "cls")
     rooted = classes.select("v", "cls", "low", "n").join(joined, "cls", "left").withColumn("root", F.coalesce("component", "cls")).join(links, "cls", "left")

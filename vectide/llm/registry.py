@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vectide.llm import bpe_transducer, langid, mixing, packing, pq_dedup, simhash, suffix_dedup, toxicity, urlfilter, voronoi
+from vectide.llm import bpe_transducer, centroids, hard_negatives, langid, mixing, packing, pq_dedup, simhash, suffix_dedup, toxicity, urlfilter, voronoi, warc
 
 
 def tokenizer_path() -> str:
@@ -62,9 +63,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to archives and read back; see warc.archived_pages for nulls, copies and repeated ids."""
+    return warc.archived_pages(spark, pages(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding against all rows; see hard_negatives.mine for nulls and ties. Every seventh
+    row takes the next label first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(embeddings(spark, sf_dir).withColumn("label", label))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds over all embeddings of 64 components; see centroids.cluster for nulls, ties and empty clusters."""
+    return centroids.cluster(embeddings(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pq_near_dedup, op2_pattern_packing, op3_simhash, op4_voronoi_topk, op5_source_mixing, op6_url_filter, op7_toxicity, op8_suffix_dedup, op9_language_id, op10_token_counts)
+    for f in (
+        op1_pq_near_dedup, op2_pattern_packing, op3_simhash, op4_voronoi_topk, op5_source_mixing, op6_url_filter, op7_toxicity,
+        op8_suffix_dedup, op9_language_id, op10_token_counts, op11_warc_roundtrip, op12_hard_negatives, op13_centroid_clusters,
+    )
+}
+
+ORACLE_SQL = {
+    "op1_pq_near_dedup": pq_dedup.ORACLE,
+    "op4_voronoi_topk": voronoi.ORACLE,
+    "op5_source_mixing": mixing.ORACLE,
+    "op11_warc_roundtrip": warc.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_centroid_clusters": centroids.ORACLE,
 }
-
-ORACLE_SQL = {"op1_pq_near_dedup": pq_dedup.ORACLE, "op4_voronoi_topk": voronoi.ORACLE, "op5_source_mixing": mixing.ORACLE}

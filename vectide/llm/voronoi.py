@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 from vectide.llm.common import hash_sample, kmeans, materialize
 
 
-def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v array<double>): floor(scale * x) of each component. Vectors that are null or hold a null, NaN or
-    infinite component are left out; empty vectors too. Whole numbers are kept as doubles: sums stay exact below 2^53."""
+def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, keep: list[str] | None = None) -> DataFrame:
+    """(vec_id, v array<double>, and the columns `keep`): floor(scale * x) of each component. Vectors that are null or hold
+    a null, NaN or infinite component are left out; empty vectors too. Whole numbers are kept as doubles: sums stay exact
+    below 2^53. Doubles from 2^53 are whole already, where a floor would not fit a long."""
     x = F.col(vector_col)
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double"))
-    return vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    scaled = F.transform(x, lambda c: F.lit(float(scale)) * c.cast("double"))
+    v = F.transform(scaled, lambda c: F.when(F.abs(c) < F.lit(2.0**53), F.floor(c).cast("double")).otherwise(c))
+    return vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *(keep or []))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -114,38 +117,40 @@ def wanted_rows(vectors: DataFrame, cells: Cells, group: np.ndarray, k: int) ->
 
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5, pivot_queries: int = 32, max_pivots: int = 1024, group_queries: int = 1024, rows_per_task: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of every query with all other rows, ties to the
-    smaller vec_id; all rows if there are fewer. Inputs are (vec_id long, v array<double>) of whole components. Rows whose
-    length is not the commonest take no part. Repeated ids among the queries are one query, repeated rows of the data
-    are candidates of their own. An empty side gives no rows.
+    smaller vec_id; all rows if there are fewer. Inputs are (vec_id long, v array<double>) of whole components. Rows meet
+    queries of their own length; each length is searched by itself. Repeated ids among the queries are one query (the
+    smallest vector of that length), repeated rows of the data are candidates of their own. An empty side gives no rows.
 
     Queries belong to the cell of their nearest pivot, about `pivot_queries` a cell, and neighbouring cells to groups of
     about `group_queries`. For a cell with pivot p and radius r, every query q of it has q.y between p.y - r|y| and
     p.y + r|y|. A first pass over the data summarises, for each cell, the k + 1 largest lower bounds: k rows besides the
-    query itself surely reach the smallest of them. A second one replicates a row to those groups only that have a cell
-    whose bound its upper bound reaches. Groups with their rows are dealt out in tasks of bounded size, large groups
-    also by blocks of queries, and the tasks' k best are merged. The driver holds pivots and summaries: a few numbers a
-    cell. How many rows can be left out depends on the data: see `wanted_rows`.
+    query itself surely reach the smallest of them. A second one counts the rows that each group wants, those whose upper
+    bound reaches the bound of one of its cells, and a third replicates them to it, in tasks of about `rows_per_task`;
+    large groups are dealt out by blocks of queries, too, and the tasks' k best are merged. The driver holds pivots and
+    summaries: a few numbers a cell. How many rows can be left out depends on the data: see `wanted_rows`.
     """
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    commonest = vectors.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if commonest is None:
-        return empty
-    dim, rows = commonest
-    vectors, queries = (x.where(F.size("v") == dim) for x in (vectors, queries.dropDuplicates(["vec_id"])))
+    lengths = sorted(r[0] for r in queries.select(F.size("v")).distinct().collect())  # one row a length
+    each = [_of_one_length(vectors.where(F.size("v") == n), queries.where(F.size("v") == n), n, k, pivot_queries, max_pivots, group_queries, rows_per_task) for n in lengths]
+    if not each:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def _of_one_length(vectors: DataFrame, queries: DataFrame, dim: int, k: int, pivot_queries: int, max_pivots: int, group_queries: int, rows_per_task: int) -> DataFrame:
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     asked, cells = query_cells(queries, pivot_queries, max_pivots)
-    if not len(cells.pivots):
-        return empty
     group = neighbour_groups(cells, group_queries)
     sent = wanted_rows(vectors, cells, group, k)
     n = np.bincount(group, weights=cells.sizes).astype(int)
-    chunks = max(1, -(-rows // rows_per_task))
-    blocks = F.element_at(F.lit([int(max(1, -(-x // (2 * group_queries)))) for x in n]), F.col("grp") + 1)
+    wanted = np.zeros(len(n), int)
+    for r in sent.groupBy("grp").count().collect():  # one row a group
+        wanted[r.grp] = r["count"]
+    of_group = lambda numbers: F.element_at(F.lit([int(max(1, x)) for x in numbers]), F.col("grp") + 1)
+    chunks, blocks = of_group(-(-wanted // rows_per_task)), of_group(-(-n // (2 * group_queries)))
     salt = F.xxhash64("vec_id")
-    every = F.sequence(F.lit(0), F.lit(int(chunks) - 1))
     own = asked.select(F.element_at(F.lit(group.tolist()), F.col("cell") + 1).alias("grp"), "vec_id", "v")
-    query_rows = own.withColumn("block", F.pmod(salt, blocks).cast("int")).select("grp", "block", F.explode(every).alias("chunk"), F.lit(0).alias("kind"), "vec_id", "v")
-    data_rows = sent.select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(salt, F.lit(int(chunks))).cast("int").alias("chunk"), F.lit(1).alias("kind"), "vec_id", "v")
+    query_rows = own.withColumn("block", F.pmod(salt, blocks).cast("int")).select("grp", "block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("kind"), "vec_id", "v")
+    data_rows = sent.select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(salt, chunks).cast("int").alias("chunk"), F.lit(1).alias("kind"), "vec_id", "v")
     both = query_rows.union(data_rows).select(F.xxhash64("grp", "block", "chunk").alias("task"), "kind", "vec_id", "v").repartition("task").sortWithinPartitions("task", "kind")
 
     def best(ids: np.ndarray, scores: np.ndarray):
