@@ -699,4 +699,4 @@ def pca(spark, d):
     return rows(spark, d).select("vec_id", V.linear(centered_, matrix.tolist()).alias("embedding"))
 
 
-from vectide import catalog_more  # noqa: E402, F401  registers more queries
+from vectide import catalog_index, catalog_more  # noqa: E402, F401  register more queries

@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
+from vectide.sources.written import written
 
 #: Queries of at most this size are sent to every task; more of them meet the data in blocks of a grid.
 BROADCAST_BYTES = 32 << 20
 QUERY_BLOCK, DATA_BLOCK = 2048, 50_000
+#: Pairs of query and list that are sent to every task, list numbers that go into a filter, and pairs a task holds at a time.
+PROBES, LISTED, HELD = 200_000, 10_000, 20_000
 RESULT = "q_id long, vec_id long, score double"
 
 
@@ -219,21 +222,101 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, name: str = "l
     return near.select("q_id", F.col("vec_id").cast("int").alias("list_no"), F.col("score").alias("centroid_score"), F.col("rank").alias("probe_rank"))
 
 
-def scan_lists(queries: DataFrame, probed: DataFrame, lists: DataFrame, name: str = "l2", selector: Column | None = None, k: int | None = None, radius: float | None = None, p: float = 3.0) -> DataFrame:
+def scan_lists(queries: DataFrame, probed: DataFrame, lists: DataFrame, name: str = "l2", selector: Column | None = None, k: int | None = None, radius: float | None = None, p: float = 3.0, sizes: DataFrame | None = None) -> DataFrame:
     """(q_id, list_no, vec_id, score and what else `probed` has): the k best rows of each probed list (or all within the
-    radius). `probed` brings any assignment (q_id, list_no); a query may have none, one or many lists.
+    radius), where a list lies in several tasks once a task. `probed` brings any assignment (q_id, list_no); a query may
+    have none, one or many lists. `sizes` (list_no, n) saves counting the lists.
 
-    One list meets all its queries at once. Lists of more than `DATA_BLOCK` rows are cut in chunks and their queries
-    sent to each, so no list has to fit in one task; only k rows a query and chunk come out.
+    Lists that nobody probes are left out before anything moves: on lists that are partitioned by number, their files are
+    not opened. Up to `BROADCAST_BYTES` of queries and `PROBES` pairs go to every task, and lists are scanned where they lie.
+    More of them meet list by list: one list and all its queries at once; lists of more than `DATA_BLOCK` rows are cut in
+    chunks and their queries sent to each, so no list has to fit in one task; only k rows a query and chunk come out.
     """
     lists = (lists if selector is None else lists.where(selector)).where("embedding is not null").select("list_no", "vec_id", "embedding")
-    asked = probed.select("q_id", "list_no").distinct().join(queries.where("embedding is not null").select("q_id", "embedding"), "q_id")
-    return _by_list(asked, lists, name, k, radius, p).join(probed, ["q_id", "list_no"])
+    queries = queries.where("embedding is not null").select("q_id", "embedding")
+    pairs = probed.select("q_id", "list_no").distinct()
+    hits = _where_they_lie(queries, pairs, lists, name, k, radius, p)
+    if hits is None:
+        hits = _by_list(pairs.join(queries, "q_id"), lists, name, k, radius, p, sizes)
+    return hits if set(probed.columns) == {"q_id", "list_no"} else hits.join(probed, ["q_id", "list_no"])
+
+
+def _where_they_lie(queries: DataFrame, pairs: DataFrame, lists: DataFrame, name: str, k: int | None, radius: float | None, p: float) -> DataFrame | None:
+    """(q_id, vec_id, score, list_no) of a search whose queries and pairs (q_id, list_no) are few; None if they are not."""
+    spark = queries.sparkSession
+    if queries.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0] > BROADCAST_BYTES:
+        return None
+    asks = pairs.limit(PROBES + 1).toArrow()
+    if asks.num_rows > PROBES:
+        return None
+    held = queries.toArrow()
+    ids = held.column("q_id").combine_chunks().to_numpy(zero_copy_only=False)
+    matrix = _matrix(held.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, 0))
+    place = np.argsort(ids, kind="stable")
+    at = np.searchsorted(ids[place], asks.column("q_id").to_numpy())
+    known = at < len(ids)
+    known[known] = ids[place[at[known]]] == asks.column("q_id").to_numpy()[known]
+    number, asker = asks.column("list_no").to_numpy()[known], place[at[known]]
+    order = np.argsort(number, kind="stable")
+    wanted, starts = np.unique(number[order], return_index=True)
+    of_list = dict(zip(wanted.tolist(), np.split(asker[order], starts[1:])))
+    if len(wanted) <= LISTED:
+        lists = lists.where(F.col("list_no").isin(wanted.tolist()))
+    else:
+        lists = _probed_only(lists, written(pairs.select("list_no").distinct(), "probed-lists"))
+    shared = spark.sparkContext.broadcast((ids, matrix, of_list))
+
+    def scan(batches):
+        ids, matrix, of_list = shared.value
+        best: dict[int, _Best] = {}
+
+        def told(number, found):
+            for batch in _batches(found):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, number, np.int32))], ["q_id", "vec_id", "score", "list_no"])
 
+        def flush():
+            for number, b in best.items():
+                yield from told(number, b.rest())
+            best.clear()
 
-def _by_list(asked: DataFrame, lists: DataFrame, name: str, k: int | None, radius: float | None, p: float = 3.0) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = batch.column("list_no").to_numpy()
+            order = np.argsort(numbers, kind="stable")
+            if (np.diff(numbers) < 0).any():
+                batch, numbers = batch.take(pa.array(order)), numbers[order]
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(numbers)]):
+                asker = of_list.get(int(numbers[a]))
+                if asker is None:
+                    continue
+                if int(numbers[a]) not in best:
+                    if sum(len(x.ids) for x in best.values()) > HELD:
+                        yield from flush()
+                    best[int(numbers[a])] = _Best(ids[asker], matrix[asker], name, k or 1 << 30, radius, p)
+                part = batch.slice(a, b - a)
+                yield from told(int(numbers[a]), best[int(numbers[a])].see(part.column("vec_id").to_numpy(), _matrix(part.column("embedding"))))
+        yield from flush()
+
+    return lists.mapInArrow(scan, RESULT + ", list_no int")
+
+
+def _probed_only(lists: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the lists in `wanted` (list_no), a table without repeats. Up to a million numbers are broadcast (counted), and
+    a scan of partitioned lists then opens only theirs."""
+    n, low, high = wanted.agg(F.count("*"), F.min("list_no"), F.max("list_no")).first()
+    if n > 1_000_000:
+        return lists.join(wanted, "list_no", "left_semi")
+    return lists.join(F.broadcast(wanted.where(F.col("list_no").between(low, high))), "list_no", "left_semi")
+
+
+def _by_list(asked: DataFrame, lists: DataFrame, name: str, k: int | None, radius: float | None, p: float = 3.0, sizes: DataFrame | None = None) -> DataFrame:
     """(q_id, list_no, vec_id, score) of asked (q_id, list_no, embedding) against lists (list_no, vec_id, embedding)."""
-    sizes = lists.groupBy("list_no").agg(F.ceil(F.count("*") / F.lit(DATA_BLOCK)).cast("int").alias("chunks"))
+    wanted = written(asked.select("list_no").distinct(), "probed-lists")
+    lists = _probed_only(lists, wanted)
+    counts = lists.groupBy("list_no").agg(F.count("*").alias("n")) if sizes is None else sizes.select("list_no", "n").join(wanted, "list_no", "left_semi")
+    sizes = counts.select("list_no", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(DATA_BLOCK))).cast("int").alias("chunks"))
     left = asked.join(sizes, "list_no").select(F.col("list_no").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "q_id", "embedding")
     right = lists.join(sizes, "list_no").select(F.col("list_no").cast("int").alias("block"), F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "embedding")
     everything = 1 << 30
@@ -241,21 +324,22 @@ def _by_list(asked: DataFrame, lists: DataFrame, name: str, k: int | None, radiu
     return hits.withColumnRenamed("block", "list_no")
 
 
-def ivf(queries: DataFrame, centroids: DataFrame, lists: DataFrame, k: int, nprobe: int, name: str = "l2", max_codes: int = 0, selector: Column | None = None) -> DataFrame:
+def ivf(queries: DataFrame, centroids: DataFrame, lists: DataFrame, k: int, nprobe: int, name: str = "l2", max_codes: int = 0, selector: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(q_id, vec_id, list_no, score, rank) over the nprobe nearest lists; with max_codes a query stops probing once it has
-    scanned that many rows."""
+    scanned that many rows. `sizes` (list_no, n), if known, saves counting the lists."""
     probed = probes(queries, centroids, nprobe, name)
     if max_codes:
-        sizes = lists.groupBy("list_no").agg(F.count("*").alias("n"))
+        counts = lists.groupBy("list_no").agg(F.count("*").alias("n")) if sizes is None else sizes.select("list_no", "n")
         before = Window.partitionBy("q_id").orderBy("probe_rank").rowsBetween(Window.unboundedPreceding, -1)
-        probed = probed.join(sizes, "list_no").withColumn("scanned", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("scanned") < max_codes).drop("n", "scanned")
-    return ranked(scan_lists(queries, probed, lists, name, selector, k).select("q_id", "vec_id", "list_no", "score"), k, name)
+        probed = probed.join(counts, "list_no").withColumn("scanned", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("scanned") < max_codes)
+    found = scan_lists(queries, probed.select("q_id", "list_no"), lists, name, selector, k, sizes=sizes)
+    return ranked(found.select("q_id", "vec_id", "list_no", "score"), k, name)
 
 
 def continued(best: DataFrame, queries: DataFrame, probed: DataFrame, lists: DataFrame, k: int, name: str = "l2") -> DataFrame:
     """(q_id, vec_id, score, rank): one more step of an incremental search. `best` (q_id, vec_id, score) is what the steps
     before have found, `probed` the lists of this step, as many for each query as it likes; nothing is scanned again."""
-    return merged([best, scan_lists(queries, probed, lists, name, k=k)], k, name)
+    return merged([best, scan_lists(queries, probed.select("q_id", "list_no"), lists, name, k=k)], k, name)
 
 
 def hot_and_cold(queries: DataFrame, probed: DataFrame, lists: DataFrame, hot: DataFrame, k: int, name: str = "l2") -> DataFrame:
