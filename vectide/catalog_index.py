@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from vectide.catalog import PROBES, _rounded, asked, centroids, lists, query, rows
-from vectide.operators import search, stored
+from pyspark.sql import functions as F
+
+from vectide.catalog import PROBES, SQL_METRIC, _rounded, _top, asked, centroids, lists, query, rows
+from vectide.operators import graphs, search, stored
 from vectide.sources.written import new_folder
 
 FOUND = PROBES + "SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM t"
@@ -34,3 +36,25 @@ def encoded_in_parts(spark, d):
     stored.encode_parts(rows(spark, d), c, at, 4)
     return stored.from_parts(spark, c, at).lists.select("vec_id", "list_no")
 
+
+
+# --- graphs: approximate by nature; on tables of this size they find every neighbour, larger ones are measured in tests ---
+
+
+@query("nn_descent", "SELECT vec_id, nb, CAST(rank AS INTEGER) AS rank, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s, nb) AS rank FROM (SELECT a.vec_id, b.vec_id AS nb, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(a.v, b.v)]) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id)) WHERE rank <= 5")
+def nn_descent(spark, d):
+    """The five nearest others of every vector, from a graph of twenty found by comparing neighbours of neighbours."""
+    return _rounded(graphs.nn_descent(rows(spark, d)).edges.where(F.col("rank") <= 5), "score")
+
+
+@query("nsg_search", _top(SQL_METRIC["l2"], 10))
+def nsg_search(spark, d):
+    """The ten nearest by a walk over the pruned neighbour graph, from the medoid."""
+    every = rows(spark, d)
+    return _rounded(graphs.search_nsg(asked(spark, d), graphs.nsg(every), every, 10).hits, "score")
+
+
+@query("hnsw_search", _top(SQL_METRIC["l2"], 10))
+def hnsw_search(spark, d):
+    """The ten nearest by walks over layered graphs of two shards, merged."""
+    return _rounded(graphs.search_sharded(asked(spark, d), rows(spark, d), 10, 2), "score")
