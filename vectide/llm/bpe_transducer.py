@@ -94,13 +94,14 @@ def load_spec(path: str) -> dict:
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
     as_bytes = {t: bytes(byte_of[c] for c in t) for t in model["vocab"]}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    points = np.array([ord(c) for c in everything])
     classes = np.full(0x110000, OTHER, np.uint8)
-    for pattern, code in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
-        found = pre_tokenizers.Split(Regex(f"[^{pattern}]+"), "removed").pre_tokenize_str(everything)
-        for _, (a, b) in found:
-            classes[points[a:b]] = code
+    splits = [(pre_tokenizers.Split(Regex(f"[^{pattern}]+"), "removed"), code) for pattern, code in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK))]
+    for low in range(0, 0x110000, 1 << 13):  # a part at a time: the library needs some hundred bytes a character
+        if not 0xD800 <= low < 0xE000:
+            part = "".join(map(chr, range(low, low + (1 << 13)))) if low != 0xC000 else "".join(map(chr, range(low, 0xD800)))
+            for split, code in splits:
+                for _, (a, b) in split.pre_tokenize_str(part):
+                    classes[low + a : low + b] = code
     for letters, code in (("stmd", STMD), ("rv", RV), ("e", E), ("l", L_LETTER), ("'", QUOTE), (" ", SPACE)):
         classes[[ord(c) for c in letters]] = code
     return {
