@@ -184,6 +184,11 @@ def parity_bits(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """The same in 512 bits, whatever the number of shingles."""
+    return np.packbits((np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def fewest_differences(a: bytes, b: bytes) -> int:
     """A lower bound of the number of shingles that only one of two sets has; the longer bitmap is folded."""
     x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
@@ -217,8 +222,8 @@ def _common_shingles(docs: DataFrame, shingle: int, seed: int, texts: int = 4_00
 
 
 def _sketches(docs: DataFrame, shingle: int, seed: int, share: Fraction) -> DataFrame:
-    """(doc_id, node, fp, n, bits, prefix) of every row of (doc_id, text): a hash of its shingle set, the set's SimHash and
-    size, its parity bitmap, and the shingles of which two texts of similarity `share` have one in common."""
+    """(doc_id, node, fp, n, bits, sig, prefix) of every row of (doc_id, text): a hash of its shingle set, the set's SimHash
+    and size, its parity bitmaps (in proportion to its size, and short), and the shingles of which two texts of similarity `share` have one in common."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle, seed))
 
     def run(batches):
@@ -226,7 +231,7 @@ def _sketches(docs: DataFrame, shingle: int, seed: int, share: Fraction) -> Data
         for part in text_slices(batches):
             data, offsets = flat_text(part.column("text"))
             raw, bounds = data.tobytes(), offsets.tolist()
-            node, fp, size, bits, prefix = [], [], [], [], []
+            node, fp, size, bits, sig, prefix = [], [], [], [], [], []
             for a, b in zip(bounds, bounds[1:]):
                 s = shingle_set(raw[a:b], shingle, seed)
                 n = len(s)
@@ -234,14 +239,15 @@ def _sketches(docs: DataFrame, shingle: int, seed: int, share: Fraction) -> Data
                 fp.append(_majority(s.astype(">u8").view(np.uint8)))
                 size.append(n)
                 bits.append(parity_bits(s))
+                sig.append(signature(s))
                 if len(common):  # rare shingles first, so that few texts meet
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     s = s[np.argsort(np.where(common[at] == s, texts[at], 0), kind="stable")]
                 prefix.append(s[: n - -(-share.numerator * n // share.denominator) + 1 if n else 0].tobytes())
-            cols = [part.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "fp", "n", "bits", "prefix"])
+            cols = [part.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "fp", "n", "bits", "sig", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, bits binary, prefix binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, bits binary, sig binary, prefix binary")
 
 
 def _prefix_tokens(nodes: DataFrame) -> DataFrame:
@@ -266,20 +272,26 @@ def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFr
     than `hub` nodes have, only pairs with one of these, and the token itself is told. None: all pairs of all tokens.
 
     Two sets of that similarity share a shingle of their prefixes, their sizes allow for it, and so does what follows
-    the first shared shingle.
+    the first shared shingle, and the bits in which their signatures differ, if `tokens` has them (sig).
     """
     p, q = share.numerator, share.denominator
+    names = ["token", "node", "root", "n", "pos", *(["sig"] if "sig" in tokens.columns else [])]
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
 
-        def fits(x, y, root, n, pos):
+        def fits(x, y, root, n, pos, sig=None):
             nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
             left = np.minimum(nx - pos[x], ny - pos[y])
-            return (root[x] != root[y]) & (q * np.minimum(nx, ny) >= p * np.maximum(nx, ny)) & ((p + q) * left >= p * (nx + ny))
+            ok = (root[x] != root[y]) & (q * np.minimum(nx, ny) >= p * np.maximum(nx, ny)) & ((p + q) * left >= p * (nx + ny))
+            if sig is not None:
+                i = np.flatnonzero(ok)
+                differ = np.bitwise_count(sig[x[i]] ^ sig[y[i]]).sum(1, dtype=np.int64)
+                ok[i] = differ * (p + q) <= (nx[i] + ny[i]) * (q - p)
+            return ok
 
         def solve(cols):
-            token, node, root, n, pos = cols
+            token, node, root, n, pos, *sig = cols
             edge = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
             size = np.diff(np.append(edge, len(token)))
             most = 96 if hub is None else hub
@@ -287,7 +299,7 @@ def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFr
             found = [(node[:0], node[:0])]
             for gap in range(1, int(size[size <= most].max(initial=0))):
                 x = np.flatnonzero((token[:-gap] == token[gap:]) & small[gap:])
-                x = x[fits(x, x + gap, root, n, pos)]
+                x = x[fits(x, x + gap, root, n, pos, *sig)]
                 found.append((node[x], node[x + gap]))
             large = np.flatnonzero(size > most)
             for at, k in zip(edge[large].tolist(), size[large].tolist()):
@@ -295,7 +307,7 @@ def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFr
                     continue
                 if hub is not None:
                     x, y = np.full(k, at + int(node[at : at + k].argmin())), np.arange(at, at + k)
-                    ok = fits(x, y, root, n, pos)
+                    ok = fits(x, y, root, n, pos, *sig)
                     found.append((node[x[ok]], node[y[ok]]))
                     continue
                 s = at + np.argsort(n[at : at + k], kind="stable")  # by size: only the next ones up to 1 / share are compared
@@ -304,7 +316,7 @@ def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFr
                     rows, others = s[c : c + 256], s[c : until[min(c + 256, k) - 1]]
                     i, j = np.nonzero(np.arange(len(rows))[:, None] < np.arange(len(others)))
                     x, y = rows[i], others[j]
-                    ok = fits(x, y, root, n, pos)
+                    ok = fits(x, y, root, n, pos, *sig)
                     found.append((node[x[ok]], node[y[ok]]))
             a, b = (np.concatenate(f) for f in zip(*found))
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -313,20 +325,30 @@ def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.nulls(len(pair), pa.int64())], ["a", "b", "token"])
             yield pa.RecordBatch.from_arrays([none, none, pa.array(told)], ["a", "b", "token"])
 
+        def take(last_too):
+            cols = [np.concatenate(x) for x in zip(*held)]
+            last = len(cols[0]) if last_too else int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last token may go on in the next batch
+            held[:] = [[c[last:] for c in cols]]
+            return [c[:last] for c in cols]
+
+        waiting = 0
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("token", "node", "root", "n", "pos")]
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
-            last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last token may go on in the next batch
-            if last:
-                yield from solve([c[:last] for c in cols])
-            held = [c[last:] for c in cols]
-        if held:
-            yield from solve(held)
-
-    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, token long").distinct()
+            cols = [batch.column(c).to_numpy() for c in names[:5]]
+            if len(names) > 5:
+                cols.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, 8))
+            held.append(cols)
+            waiting += batch.num_rows
+            if waiting >= 1 << 17:  # pairs that meet at many tokens are told once
+                cols = take(False)
+                if len(cols[0]):
+                    yield from solve(cols)
+                waiting = 0
+        if held and len((cols := take(True))[0]):
+            yield from solve(cols)
+
+    return tokens.select(*names).repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, token long").distinct()
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, share: Fraction, name: str) -> DataFrame:
@@ -376,7 +398,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, hub: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, distance: int = 4, hub: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row of `docs`.
 
     Documents link when the Jaccard similarity of their sets of `shingle` words is at least `similarity`, counted on the
@@ -390,10 +412,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     share = Fraction(str(similarity))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialize(_sketches(docs, shingle, seed, share), "sketches")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").cast("long").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").cast("long").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "distinct-sets")
     first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first-of-fingerprint")
-    near = close_links(first.select("fp", F.col("fp").alias("id")), distance)
+    near = close_links(first.select("fp", F.col("fp").alias("id")), distance).distinct()  # forests of many blocks say the same
     near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     same = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -407,7 +429,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     links = links.union(_verified(found.where("a is not null").select("a", "b"), nodes, docs, shingle, seed, share, "similar"))
     hot = found.where("token is not null").select("token")
     if not hot.isEmpty():  # what large groups have besides their pairs with one node, where roots still differ
-        tokens = _prefix_tokens(rooted(links, "similar")).join(hot, "token")
+        tokens = _prefix_tokens(rooted(links, "similar")).join(hot, "token").join(nodes.select("node", "sig"), "node")
         links = links.union(_verified(_prefix_pairs(tokens, share, None).select("a", "b"), nodes, docs, shingle, seed, share, "rest"))
     joined = components(links, "linked")
     classes = nodes.select("node", "id").join(joined, "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
