@@ -15,6 +15,7 @@ from vectide.functions import text as T
 from vectide.functions import vectors as V
 from vectide.operators import clustering, codecs, evaluate, index, search
 from vectide.plans import graph, workflow
+from vectide.sources.written import new_folder
 from vectide.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,8 +326,7 @@ def stage_overlap(spark, d):
 
 @query("stage_drift", "SELECT label, vec_id, round(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, w)]), 5) AS drift FROM (SELECT label, vec_id, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM e) WHERE w IS NOT NULL")
 def stage_drift(spark, d):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    moved = rows(spark, d).withColumn("w", F.lag("embedding").over(w)).where("w is not null")
+    moved = windows.lagged(rows(spark, d), "label", "vec_id", "embedding", "w").where("w is not null")
     return _rounded(moved.select("label", "vec_id", V.metric("l2", F.col("embedding"), F.col("w")).alias("drift")), "drift")
 
 
@@ -554,7 +554,7 @@ def _questions(spark, d):
 def corpus(spark, d) -> workflow.Corpus:
     docs, encoded = _texts(spark, d)
     joined = encoded.select(F.col("id").alias("vec_id"), "embedding").join(docs.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    return workflow.Corpus(joined, lambda r: T.encode(r, "id", "text"))
+    return workflow.stored(joined, lambda r: T.encode(r, "id", "text"), new_folder(spark, "corpus"))
 
 
 @query("hash_encoder", "WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS ws FROM documents), n AS (SELECT id, b, count(*) AS c FROM (SELECT id, CAST(('0x' || substr(md5(unnest(ws)), 1, 8)) AS BIGINT) % 64 AS b FROM t) GROUP BY ALL) SELECT n.id, b AS pos, round(c / len, 5) AS x FROM n JOIN (SELECT id, sqrt(sum(c * c)) AS len FROM n GROUP BY id) USING (id)", tables=False)
@@ -677,10 +677,10 @@ def event_sessions(spark, d):
     return windows.sessions(spark.read.parquet(f"{d}/events.parquet"))
 
 
-@query("arrivals", "SELECT event_id AS id, round(sum(-ln(1 - CAST(('0x' || substr(md5(event_id || '|2025'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE) / 8) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 5) AS start_time FROM events WHERE event_id < 512", tables=False)
+@query("arrivals", "SELECT event_id AS id, round(sum(-ln(1 - CAST(('0x' || substr(md5(event_id || '|2025'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE) / 8) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 5) AS start_time FROM events", tables=False)
 def arrivals(spark, d):
-    """Start times of the 512 requests of an experiment at eight a second."""
-    requests = spark.read.parquet(f"{d}/events.parquet").where("event_id < 512").select(F.col("event_id").alias("id"))
+    """Start times of a request for each event, at eight a second."""
+    requests = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"))
     return _rounded(windows.arrivals(requests, 8.0), "start_time")
 
 

@@ -12,6 +12,7 @@ from vectide.catalog import PROBES, SQL_METRIC, WORDS, _hamming, _range, _rounde
 from vectide.functions import text as T
 from vectide.functions import vectors as V
 from vectide.operators import codecs, evaluate, index, quantizers, search, transforms
+from vectide.sources.written import written
 
 L2 = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip({}, {})])"
 PART = "v[sub * 8 + 1 : sub * 8 + 8]"
@@ -65,9 +66,9 @@ def transform_chain_knn(spark, d):
 @query("flat_1d", "WITH s AS (SELECT s_suppkey AS q_id, s_acctbal AS a FROM supplier), x AS (SELECT p_partkey AS vec_id, p_retailprice AS b FROM part) SELECT q_id, vec_id, round(gap, 4) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY gap, vec_id) AS r FROM (SELECT q_id, vec_id, abs(a - b) AS gap FROM s, x)) WHERE r = 1", tables=False)
 def flat_1d(spark, d):
     """The nearest value in one dimension: parts by price for every supplier's balance."""
-    values = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("vec_id"), F.array("p_retailprice").alias("embedding"))
-    q = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("q_id"), F.array("s_acctbal").alias("embedding"))
-    return search.knn(q, values, 1, "l1").select("q_id", "vec_id", F.round("score", 4).alias("gap"))
+    values = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("vec_id"), F.col("p_retailprice").alias("x"))
+    q = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("q_id"), F.col("s_acctbal").alias("x"))
+    return search.nearest_values(q, values, 1).select("q_id", "vec_id", F.round("score", 4).alias("gap"))
 
 
 # --- selectors and lists ------------------------------------------------------------------------------------------------
@@ -168,10 +169,13 @@ def ivf_continued(spark, d):
 
 @query("ivf_hot_and_cold", PROBES + "SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM t")
 def ivf_hot_and_cold(spark, d):
-    """The three lists that most queries probe are kept in memory."""
+    """The three lists that most queries probe are kept in memory for two batches of queries, then released."""
     counts = probed(spark, d).groupBy("list_no").count()
-    hot = counts.orderBy(F.desc("count"), "list_no").limit(3)
-    return _rounded(search.hot_and_cold(asked(spark, d), probed(spark, d), lists(spark, d), hot, 10), "score")
+    hot = written(counts.orderBy(F.desc("count"), "list_no").limit(3), "hot-lists")
+    batches = [asked(spark, d).where(F.col("q_id") % 200 == i) for i in (0, 100)]
+    with search.kept_lists(lists(spark, d), hot) as kept:
+        found = [search.hot_and_cold(q, probed(spark, d).join(q.select("q_id"), "q_id", "left_semi"), lists(spark, d), kept, hot, 10) for q in batches]
+    return _rounded(found[0].unionByName(found[1]), "score")
 
 
 @query("ivf_other_quantizer", "& p AS (SELECT * FROM (SELECT q_id, qv, list_no, row_number() OVER (PARTITION BY q_id ORDER BY " + L2.format("qv[1:16]", "cv[1:16]") + ", list_no) AS r FROM q, c) WHERE r <= 3) SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score, vec_id) AS rank FROM (SELECT q_id, vec_id, " + L2.format("qv", "v") + " AS score FROM p JOIN e ON label = list_no)) WHERE rank <= 5")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +58,46 @@ def binary(rows: DataFrame, size: int, thresholds: Column | None = None) -> Data
     return rows.withColumn("words", V.sign_words(v, size))
 
 
+def quantiles(rows: DataFrame, shares: list[float], bins: int = 128) -> dict[int, list[float]]:
+    """Exact quantiles of each component, by position (as `percentile`: between two values in proportion). Components must be
+    finite; NaN and nulls are left out.
+
+    A pass counts the values of an interval in `bins` bins, and the bin that holds a wanted rank is the next interval, until
+    it has one value. What moves is a count for each component, rank and bin, whatever the number of rows.
+    """
+    parts = rows.where("embedding is not null").select(F.posexplode("embedding").alias("pos", "x"))
+    parts = parts.select("pos", F.col("x").cast("double").alias("x")).where("x is not null and not isnan(x)")
+    found: dict[tuple[int, int], float] = {}
+    open_, wanted = [], {}
+    for r in parts.groupBy("pos").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect():  # one row a component
+        wanted[r.pos] = [share * (r.n - 1) for share in shares]
+        for rank in sorted({int(z) for w in wanted[r.pos] for z in (np.floor(w), np.ceil(w))}):
+            open_.append((r.pos, rank, rank, r.low, r.high))
+    while open_:
+        still = rows.sparkSession.createDataFrame(open_, "pos int, rank long, left long, low double, high double")
+        place = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * bins))).otherwise(0)
+        inside = parts.join(F.broadcast(still), "pos").where("x between low and high").groupBy("pos", "rank", place.alias("bin"))
+        counted: dict[tuple[int, int], list] = {}
+        for r in inside.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect():
+            counted.setdefault((r.pos, r.rank), []).append((r.bin, r.n, r.low, r.high))
+        now, open_ = open_, []
+        for pos, rank, left, _, _ in now:
+            for _, n, low, high in sorted(counted[pos, rank]):
+                if left < n:
+                    if low == high:
+                        found[pos, rank] = low
+                    else:
+                        open_.append((pos, rank, left, low, high))
+                    break
+                left -= n
+    between = lambda pos, w: found[pos, int(np.floor(w))] * (1 - (w - np.floor(w))) + found[pos, int(np.ceil(w))] * (w - np.floor(w))
+    return {pos: [float(between(pos, w)) for w in ws] for pos, ws in wanted.items()}
+
+
 def medians(rows: DataFrame) -> DataFrame:
     """One row (middle array): the exact median of each component."""
-    parts = rows.where("embedding is not null").select(F.posexplode("embedding").alias("pos", "x"))
-    by_pos = parts.groupBy("pos").agg(F.percentile(F.col("x").cast("double"), F.lit(0.5)).alias("m"))
-    return by_pos.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("middle"))
+    middle = [m for _, (m,) in sorted(quantiles(rows, [0.5]).items())]
+    return rows.sparkSession.createDataFrame([(middle,)], "middle array<double>")
 
 
 def hamming_pairs(queries: DataFrame, coded: DataFrame, flips: int, bits: int) -> DataFrame:
@@ -99,10 +135,8 @@ def uniform_range(trained: DataFrame) -> DataFrame:
 
 def quantile_ranges(rows: DataFrame, share: float) -> DataFrame:
     """Ranges from the `share` to the 1 - `share` quantile of each component."""
-    parts = rows.where("embedding is not null").select(F.posexplode("embedding").alias("pos", "x"))
-    x = F.col("x").cast("double")
-    by_pos = parts.groupBy("pos").agg(F.percentile(x, F.lit(share)).alias("low"), F.percentile(x, F.lit(1 - share)).alias("high"))
-    return _as_ranges(by_pos)
+    bounds = [(pos, low, high) for pos, (low, high) in quantiles(rows, [share, 1 - share]).items()]
+    return _as_ranges(rows.sparkSession.createDataFrame(bounds, "pos int, low double, high double"))
 
 
 def deviation_ranges(rows: DataFrame, times: float) -> DataFrame:

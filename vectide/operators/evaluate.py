@@ -42,13 +42,19 @@ def frontier(points: DataFrame) -> DataFrame:
 
 def precision_recall_at(truth: DataFrame, found: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(threshold, precision, recall) of hits (q_id, vec_id, score) with score below each threshold, all queries together.
-    Thresholds are a short list; hits are counted once, by the thresholds they pass."""
+    Thresholds are a short list, which goes into the plan; each hit is counted once, at the first threshold that it passes,
+    and sums run over the thresholds."""
     marked = found.join(truth.select("q_id", "vec_id", F.lit(1).alias("good")), ["q_id", "vec_id"], "left")
-    whole = truth.agg(F.count("*").alias("all"))
-    passed = thresholds.join(F.broadcast(whole)).join(marked, F.col("score") < F.col("threshold"), "left")
-    counted = passed.groupBy("threshold", "all").agg(F.count("score").alias("n"), F.count("good").alias("both"))
+    limits = sorted({float(r.threshold) for r in thresholds.select("threshold").where("threshold is not null").distinct().collect()})
+    all_ = truth.count()
+    rows = [(i, t) for i, t in enumerate(limits)]
+    listed = found.sparkSession.createDataFrame(rows, "place int, threshold double")
+    first = F.size(F.filter(F.lit(limits), lambda t: t <= F.col("score"))) if limits else F.lit(0)
+    counted = marked.where("score is not null").groupBy(first.alias("place")).agg(F.count("*").alias("n"), F.count("good").alias("both"))
+    upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    sums = listed.join(counted, "place", "left").select("threshold", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("n"), F.sum(F.coalesce("both", F.lit(0))).over(upto).alias("both"))
     precision = F.when(F.col("n") > 0, F.col("both") / F.col("n")).otherwise(1.0)
-    return counted.select("threshold", precision.alias("precision"), F.when(F.col("all") > 0, F.col("both") / F.col("all")).otherwise(1.0).alias("recall"))
+    return sums.select("threshold", precision.alias("precision"), (F.col("both") / F.lit(all_) if all_ else F.lit(1.0)).alias("recall"))
 
 
 def same_modulo_ties(first: DataFrame, second: DataFrame, digits: int = 5) -> DataFrame:

@@ -17,8 +17,8 @@ def part_of(v: Column, sub: int, width: int) -> Column:
     return F.slice(V.doubles(v), sub * width + 1, width)
 
 
-def train(rows: DataFrame, parts: int, dim: int, codes: int = 256, rounds: int = 25, per_cluster: int | None = 256) -> DataFrame:
-    """Codebooks of k-means centres of each part."""
+def train(rows: DataFrame, parts: int, dim: int, codes: int = 256, rounds: int = 25, per_cluster: int | None = None) -> DataFrame:
+    """Codebooks of k-means centres of each part, trained on all rows (or about codes * per_cluster of them)."""
     found = []
     for sub in range(parts):
         c, _ = clustering.kmeans(rows.select("vec_id", part_of(F.col("embedding"), sub, dim // parts).alias("embedding")), codes, rounds, per_cluster=per_cluster)

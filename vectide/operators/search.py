@@ -5,6 +5,7 @@ Tables are (vec_id long, embedding array). Queries and results carry q_id. Ties
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -342,12 +343,22 @@ def continued(best: DataFrame, queries: DataFrame, probed: DataFrame, lists: Dat
     return merged([best, scan_lists(queries, probed.select("q_id", "list_no"), lists, name, k=k)], k, name)
 
 
-def hot_and_cold(queries: DataFrame, probed: DataFrame, lists: DataFrame, hot: DataFrame, k: int, name: str = "l2") -> DataFrame:
-    """(q_id, vec_id, score, rank): lists in `hot` (list_no) are kept in the executors' memory, all others are read when
-    asked for; both parts' best are merged."""
-    kept = lists.join(hot.select("list_no"), "list_no", "left_semi").persist()
-    cold = lists.join(hot.select("list_no"), "list_no", "left_anti")
-    return merged([scan_lists(queries, probed, part, name, k=k) for part in (kept, cold)], k, name)
+@contextmanager
+def kept_lists(lists: DataFrame, hot: DataFrame):
+    """The lists in `hot` (list_no), in the executors' memory as long as the block runs: searches in it read them there."""
+    kept = lists.join(hot.select("list_no").distinct(), "list_no", "left_semi").persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def hot_and_cold(queries: DataFrame, probed: DataFrame, lists: DataFrame, kept: DataFrame, hot: DataFrame, k: int, name: str = "l2") -> DataFrame:
+    """(q_id, vec_id, score, rank): lists in `hot` (list_no) are taken from `kept` (see kept_lists), all others from `lists`;
+    both parts' best are merged and written, so that the result outlives what is kept."""
+    cold = lists.join(hot.select("list_no").distinct(), "list_no", "left_anti")
+    pairs = probed.select("q_id", "list_no")
+    return written(merged([scan_lists(queries, pairs, part, name, k=k) for part in (kept, cold)], k, name), "hot-and-cold")
 
 
 def with_vectors(hits: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -356,25 +367,58 @@ def with_vectors(hits: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def histogram(queries: DataFrame, corpus: DataFrame, name: str = "hamming") -> DataFrame:
-    """(score, n): how many pairs have each distance. Every task counts its own; pairs never leave it. For distances that
-    are whole numbers and for queries that fit in every task."""
-    held = queries.where("embedding is not null").select("embedding").collect()  # the queries, checked below
-    matrix = np.array([r.embedding for r in held], np.float64)
-    if matrix.nbytes > BROADCAST_BYTES:
-        raise ValueError("too many queries for one histogram: run it over parts and add them up")
-    shared = queries.sparkSession.sparkContext.broadcast(matrix)
-
-    def count(batches):
-        total: dict[float, int] = {}
+    """(score, n): how many pairs have each distance, for distances that are whole numbers. Every task counts its own; pairs
+    never leave it. Up to `BROADCAST_BYTES` of queries go to every task; more of them meet the rows in a grid of blocks."""
+    asked = queries.where("embedding is not null").select("q_id", V.doubles(F.col("embedding")).alias("embedding"))
+    rows = corpus.where("embedding is not null").select("vec_id", V.doubles(F.col("embedding")).alias("embedding"))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()
+
+    def added(total: dict, q: np.ndarray, x: np.ndarray) -> None:
+        for lo in range(0, len(q) if len(x) else 0, 64):
+            for d, count in zip(*np.unique(pairwise(name, q[lo : lo + 64], x), return_counts=True)):
+                total[d] = total.get(d, 0) + int(count)
+
+    def told(total: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["score", "n"])
+
+    if size <= BROADCAST_BYTES:
+        shared = queries.sparkSession.sparkContext.broadcast(np.array([r.embedding for r in asked.collect()], np.float64))
+
+        def count(batches):
+            total: dict[float, int] = {}
+            for batch in batches:
+                if batch.num_rows:
+                    added(total, shared.value, _matrix(batch.column("embedding")))
+            yield told(total)
+
+        return rows.select("embedding").mapInArrow(count, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+
+    blocks, chunks = -(-n // QUERY_BLOCK), max(1, -(-rows.count() // DATA_BLOCK))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = asked.select(F.lit(0).alias("kind"), mine("q_id", blocks).alias("block"), spread(chunks).alias("chunk"), "embedding")
+    right = rows.select(F.lit(1).alias("kind"), spread(blocks).alias("block"), mine("vec_id", chunks).alias("chunk"), "embedding")
+
+    def count_cells(batches):
+        total, key, held = {}, None, []
         for batch in batches:
-            if batch.num_rows and len(shared.value):
-                x = _matrix(batch.column("embedding"))
-                for lo in range(0, len(shared.value), 64):
-                    for d, n in zip(*np.unique(pairwise(name, shared.value[lo : lo + 64], x), return_counts=True)):
-                        total[d] = total.get(d, 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["score", "n"])
+            block, chunk, kind = (batch.column(c).to_numpy() for c in ("block", "chunk", "kind"))
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(block)]):
+                if a == b:
+                    continue
+                if key != (block[a], chunk[a]):
+                    key, held = (block[a], chunk[a]), []
+                x = _matrix(batch.column("embedding").slice(a, b - a))
+                if kind[a] == 0:
+                    held.append(x)
+                else:
+                    for q in held:
+                        added(total, q, x)
+        yield told(total)
 
-    return corpus.where("embedding is not null").select("embedding").mapInArrow(count, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+    cells = left.union(right).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind")
+    return cells.mapInArrow(count_cells, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
 
 
 def best_of_lists(scored: DataFrame, name: str = "l2") -> DataFrame:
@@ -418,3 +462,65 @@ def margins(forward: DataFrame, backward: DataFrame) -> DataFrame:
     mean_q = forward.groupBy("q_id").agg(F.avg("score").alias("mean_q"))
     mean_x = backward.groupBy(F.col("q_id").alias("vec_id")).agg(F.avg("score").alias("mean_x"))
     return forward.join(mean_q, "q_id").join(mean_x, "vec_id").select("q_id", "vec_id", (2 * F.col("score") / (F.col("mean_q") + F.col("mean_x"))).alias("margin"))
+
+
+def nearest_values(queries: DataFrame, values: DataFrame, k: int, rows_per_range: int = 200_000) -> DataFrame:
+    """(q_id, vec_id, score, rank): the k values (vec_id, x) nearest to each query (q_id, x), by |difference|; ties to the smaller
+    vec_id. Nulls and NaN take no part; fewer values than k are all found.
+
+    Values are cut in ranges of about `rows_per_range`, each sorted by one task, which finds a query's place by binary
+    search: its nearest lie next to it. What a range lacks at its ends are the k largest of the ranges below and the k smallest of
+    those above. Of equal values only the k smallest ids can count, and equal queries are asked once, so that no
+    value is too frequent for a task.
+    """
+    plain_unions(queries.sparkSession)
+    x = F.col("x").cast("double")
+    some = values.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("x is not null and not isnan(x)")
+    alike = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
+    some = written(some.withColumn("nth", alike).where(F.col("nth") <= k).drop("nth"), "values")
+    asked = queries.select("q_id", x.alias("x")).where("x is not null and not isnan(x)")
+    ranges = max(1, -(-some.count() // rows_per_range))
+    bounds = sorted(set(some.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    at = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("x"))) if bounds else F.lit(0)
+    ranged = some.withColumn("range", at)
+
+    def ends(order, to) -> DataFrame:
+        inside = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy(order, "vec_id"))).where(F.col("nth") <= k)
+        spread = inside.select("vec_id", "x", F.explode(to).alias("range"))
+        return spread.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy(order, "vec_id"))).where(F.col("nth") <= k).drop("nth")
+
+    upward = F.when(F.col("range") < len(bounds), F.sequence(F.col("range") + 1, F.lit(len(bounds))))
+    downward = F.when(F.col("range") > 0, F.sequence(F.lit(0), F.col("range") - 1))
+    held = reduce(lambda a, b: a.unionByName(b), [ranged, ends(F.desc("x"), upward), ends(F.asc("x"), downward)])
+    both = held.select("range", F.lit(0).alias("kind"), "x", "vec_id").unionByName(asked.select("x").distinct().select(at.alias("range"), F.lit(1).alias("kind"), "x", F.lit(0).cast("long").alias("vec_id")))
+    dealt = both.repartition("range").sortWithinPartitions("range", "kind", "x", "vec_id")
+
+    def solve(batches):
+        key, xs, ids = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            range_, kind, x, vec = (batch.column(c).to_numpy() for c in ("range", "kind", "x", "vec_id"))
+            cuts = np.flatnonzero((np.diff(range_) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(x)]):
+                if range_[a] != key:
+                    key, xs, ids = range_[a], [], []
+                if kind[a] == 0:
+                    xs.append(x[a:b])
+                    ids.append(vec[a:b])
+                elif xs:
+                    v, i = np.concatenate(xs), np.concatenate(ids)
+                    xs, ids = [v], [i]
+                    near = np.searchsorted(v, x[a:b])[:, None] + np.arange(-2 * k, 2 * k)
+                    out = (near < 0) | (near >= len(v))
+                    near = np.clip(near, 0, len(v) - 1)
+                    gap, number = np.where(out, np.inf, np.abs(v[near] - x[a:b, None])), i[near]
+                    order = np.argsort(number, axis=1, kind="stable")
+                    gap, number = np.take_along_axis(gap, order, 1), np.take_along_axis(number, order, 1)
+                    first = np.argsort(gap, axis=1, kind="stable")[:, :k]
+                    gap, number = np.take_along_axis(gap, first, 1), np.take_along_axis(number, first, 1)
+                    q, n = np.nonzero(gap < np.inf)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a:b][q]), pa.array(number[q, n]), pa.array(gap[q, n])], ["x", "vec_id", "score"])
+
+    hits = dealt.mapInArrow(solve, "x double, vec_id long, score double")
+    return ranked(asked.join(hits, "x").select("q_id", "vec_id", "score"), k)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vectide.operators.search import plain_unions
 from vectide.plans import workflow
+from vectide.sources.written import written
 
 START, END = "START", "END"
 #: Graphs by the name that requests ask for.
@@ -58,7 +59,8 @@ def register(graph: Graph) -> Graph:
 
 def run(requests: DataFrame, graph: Graph, corpus: workflow.Corpus, rounds: int = 12) -> DataFrame:
     """(id, workflow, answer, passed) for every request (id, question); passed counts nodes. Requests that have not reached
-    the end after `rounds` nodes keep the answer they have."""
+    the end after `rounds` nodes keep the answer they have. The state is written after each round, so a plan holds one
+    round and no node runs twice."""
     graph.check()
     plain_unions(requests.sparkSession)
     state = workflow.start(requests).withColumn("round", F.lit(0))
@@ -74,7 +76,7 @@ def run(requests: DataFrame, graph: Graph, corpus: workflow.Corpus, rounds: int
         for name in sorted(reached):
             out = workflow._apply(here.where(F.col("at") == name).select(*names), graph.nodes[name], corpus).select(*names)
             moved.append(out.withColumn("round", F.col("round") + 1).withColumn("at", graph.next_of(name)))
-        here = reduce(lambda a, b: a.unionByName(b), moved)
+        here = written(reduce(lambda a, b: a.unionByName(b), moved), "graph-round")
         done.append(here.where(F.col("at") == END))
         reached = {t for s, t, _ in graph.edges if s in reached}
     done.append(here.where(F.col("at") != END))

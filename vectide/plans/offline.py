@@ -19,7 +19,7 @@ def run(rows: DataFrame, queries: DataFrame, k: int, clusters: int, nprobe: int,
         raise ValueError(f"{bad} components are not finite")
     groups = index.duplicates(rows)
     kept = rows.join(groups.where("vec_id = representative").select("vec_id"), "vec_id", "left_semi").select("vec_id", "embedding")
-    centers, _ = clustering.kmeans(kept, clusters, 10)
+    centers, _ = clustering.kmeans(kept, clusters, 10, per_cluster=None)
     centroids = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "list_no int, embedding array<double>")
     parts = [index.build(kept.where(F.pmod("vec_id", F.lit(shards)) == i), centroids) for i in range(shards)]
     lists = reduce(lambda a, b: index.merged(a, b, 0), parts)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vectide.functions import text as T
 from vectide.operators import search
 from vectide.operators.search import plain_unions
+from vectide.sources.written import written
 
 STOP = "None"
 
@@ -50,7 +51,8 @@ class Retrieve:
 
 @dataclass(frozen=True)
 class Generate:
-    """Sets column `output` to the generator's answer to a prompt made of the row's columns."""
+    """Sets column `output` to the generator's answer to a prompt made of the row's columns. The answers are written: a
+    model is asked once a row, whatever later steps make of its answer."""
 
     prompt: Callable[[], Column]
     output: str
@@ -94,7 +96,7 @@ def _apply(requests: DataFrame, nodes: tuple, corpus: Corpus) -> DataFrame:
         if isinstance(node, Retrieve):
             requests = _retrieve(requests, node, corpus)
         elif isinstance(node, Generate):
-            requests = requests.withColumn(node.output, node.generator(node.prompt()))
+            requests = written(requests.withColumn(node.output, node.generator(node.prompt())), "generated")
         elif isinstance(node, SetColumn):
             requests = requests.withColumn(node.name, node.value())
         elif isinstance(node, Repeat):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectide.sources import vecs
+
 QA_SCHEMA = "id string, question string, golden_answers array<string>, choices array<string>, metadata map<string,string>"
 CORPUS_SCHEMA = "id string, title string, text string, contents string"
 
@@ -49,20 +49,8 @@ def fetch(hits: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def read_vecs(spark: SparkSession, path: str, kind: str = "fvecs") -> DataFrame:
-    """(file, position, embedding) of fvecs, ivecs or bvecs files: each vector is its int32 dimension and its components."""
-    item = {"fvecs": "<f4", "ivecs": "<i4", "bvecs": "u1"}[kind]
-
-    def run(batches):
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                if not content:
-                    continue
-                d = int(np.frombuffer(content, "<i4", 1)[0])
-                rows = np.frombuffer(content, np.uint8).reshape(-1, 4 + d * np.dtype(item).itemsize)[:, 4:]
-                x = np.ascontiguousarray(rows).view(item).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(x)), pa.array(np.arange(len(x))), pa.array(list(x))], ["file", "position", "embedding"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, position long, embedding array<float>")
+    """(file, position, embedding) of fvecs, ivecs or bvecs files, in ranges of bytes; see vecs.read for more."""
+    return vecs.read(spark, path, kind).select("file", "position", "embedding")
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -8,12 +8,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def arrivals(requests: DataFrame, rate: float, seed: int = 2025) -> DataFrame:
-    """Adds start_time: exponential gaps summed in order of id. Gaps come from a hash of id and seed, so reruns agree. An
-    experiment has some hundred requests: the sum runs in one task."""
+def _ranged(rows: DataFrame, order: str, ranges: int) -> DataFrame:
+    """Adds __range: which of about `ranges` equally wide ranges of a whole-number column a row is in; nulls come first."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
+    return rows.withColumn("__range", F.coalesce(F.floor((F.col(order) - F.lit(low or 0)) / width), F.lit(-1)))
+
+
+def arrivals(requests: DataFrame, rate: float, seed: int = 2025, ranges: int = 64) -> DataFrame:
+    """Adds start_time: exponential gaps summed in order of id (whole numbers). Gaps come from a hash of id and seed, so
+    reruns agree. Ranges of ids are summed by themselves and then moved by the sum of all before, so no task has all rows."""
     share = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    gap = -F.ln(1 - share) / F.lit(rate)
-    return requests.withColumn("gap", gap).withColumn("start_time", F.sum("gap").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+    gaps = _ranged(requests.withColumn("gap", -F.ln(1 - share) / F.lit(rate)), "id", ranges)
+    sums = gaps.groupBy("__range").agg(F.sum("gap").alias("s"))
+    before = sums.select("__range", F.coalesce(F.sum("s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))  # one row a range
+    inside = F.sum("gap").over(Window.partitionBy("__range").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    return gaps.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn("start_time", F.col("__before") + F.col("__inside")).drop("gap", "__range", "__inside", "__before")
+
+
+def lagged(rows: DataFrame, by: str, order: str, value: str, name: str, ranges: int = 64) -> DataFrame:
+    """Adds `name`: what `value` was in the row before, in order of the whole-number column `order`, of the same `by`; null
+    for the first. A key's rows are cut in ranges, and the first of each range takes the last of the nearest range before."""
+    cut = _ranged(rows, order, ranges)
+    inside = Window.partitionBy(by, "__range").orderBy(order)
+    marked = cut.withColumn(name, F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    last = cut.groupBy(by, "__range").agg(F.max_by(value, F.struct(order)).alias("__last"))
+    edge = last.withColumn("__last", F.lag("__last").over(Window.partitionBy(by).orderBy("__range")))  # a row a range
+    edge = edge.withColumnsRenamed({by: "__by", "__range": "__of"})
+    joined = marked.join(edge, marked[by].eqNullSafe(edge["__by"]) & (marked["__range"] == edge["__of"]), "left")
+    return joined.withColumn(name, F.when(F.col("__first"), F.col("__last")).otherwise(F.col(name))).select(*rows.columns, name)
 
 
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
