@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vectide.catalog import PROBES, SQL_METRIC, _rounded, _top, asked, centroids, lists, query, rows
 from vectide.functions import vectors as V
-from vectide.operators import clustering, graphs, index, search, stored
+from vectide.operators import clustering, graphs, index, quantizers, search, stored
 from vectide.sources import vecs
 from vectide.sources.written import new_folder
 
@@ -107,3 +108,45 @@ def two_level_clusters(spark, d):
     centers, told = clustering.two_level(every, 16, 4, 15)
     counted = index.assign(every, centers).agg(F.count("*").alias("n"))
     return counted.select(F.lit(centers.count()).cast("int").alias("centers"), F.lit(told["objective"] <= 1.05 * plain[-1]).alias("close"), F.lit(told["distances"] < n * 16 * 15).alias("fewer_distances"), "n")
+
+
+# --- codes that are learnt, and id sets ---
+
+
+@query("knn_selector_bloom", _top(SQL_METRIC["l2"], 5, where="e.vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def knn_bloom(spark, d):
+    """A search among a set of ids: a Bloom filter before anything is shuffled, the set itself after it."""
+    chosen = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return _rounded(search.knn(asked(spark, d), index.among(rows(spark, d), chosen), 5), "score")
+
+
+@query("opq", "SELECT TRUE AS below_plain, TRUE AS orthogonal, TRUE AS never_rises, count(*) AS coded FROM embeddings", tables=False)
+def opq(spark, d):
+    """Rotated product codes of all vectors, eight parts of 32 codes: whether the error is below that of plain product codes
+    trained as long, whether the rotation is one, whether a round ever made it worse, and how many rows have codes."""
+    every = rows(spark, d).select("vec_id", "embedding")
+    told = quantizers.opq(every, 8, 64, 32, 8)
+    coded = quantizers.decode(quantizers.encode(quantizers.rotated(every, told.rotation), told.books), told.books)
+    plain_books = quantizers.train(every, 8, 64, 32, 8)
+    plain = quantizers.decode(quantizers.encode(every, plain_books), plain_books)
+    error = lambda df: df.agg(F.sum(V.metric("l2", V.doubles(F.col("embedding")), F.col("decoded"))).alias("s"), F.count("*").alias("n")).first()
+    (a, n), (b, _) = error(coded), error(plain)
+    unit = bool(abs(told.rotation @ told.rotation.T - np.eye(64)).max() < 1e-9)
+    falls = all(y <= x * (1 + 1e-9) for x, y in zip(told.errors, told.errors[1:]))
+    return spark.createDataFrame([(a < b, unit, falls, n)], "below_plain boolean, orthogonal boolean, never_rises boolean, coded long")
+
+
+@query("polysemous_knn", "SELECT TRUE AS same_without_filter, TRUE AS fewer, TRUE AS kept, count(*) AS n FROM embeddings", tables=False)
+def polysemous_knn(spark, d):
+    """Codes renumbered so that bits tell distance: without a limit on bits hits are those of plain codes; with one, whether less
+    than half of the pairs are looked up and at least seven of ten of the best five stay."""
+    every, q = rows(spark, d).select("vec_id", "embedding"), asked(spark, d)
+    books = quantizers.train(every, 8, 64, 16, 6)
+    new = quantizers.polysemous(books)
+    coded = quantizers.encode(every, new)
+    plain = quantizers.knn(q, quantizers.encode(every, books), books, 5)
+    best = lambda df: {(r.q_id, r.vec_id, round(r.score, 9)) for r in df.collect()}
+    wanted, rate = best(plain), quantizers.polysemous_rate(q, coded, new, 13)
+    found = best(quantizers.polysemous_knn(q, coded, new, 5, 13))
+    same = best(quantizers.polysemous_knn(q, coded, new, 5, 32)) == wanted
+    return coded.agg(F.count("*").alias("n")).select(F.lit(same).alias("same_without_filter"), F.lit(rate < 0.5).alias("fewer"), F.lit(len(found & wanted) >= 0.7 * len(wanted)).alias("kept"), "n")

@@ -194,3 +194,37 @@ def assign_sparse(sparse: DataFrame, centroids: DataFrame) -> DataFrame:
     scores = sparse.join(dense, "pos").groupBy("vec_id", "list_no").agg(F.sum(F.col("x") * F.col("c")).alias("score"))
     first = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("score", 9)), "list_no"))
     return scores.withColumn("n", first).where("n = 1").select("vec_id", F.col("list_no").cast("int").alias("list_no"), "score")
+
+
+def bloom_of(ids: DataFrame, bits: int = 1 << 23, hashes: int = 3) -> np.ndarray:
+    """A Bloom filter of the ids (vec_id) as 64-bit words: a table of fixed size (1 MB by default), whatever their number. Words
+    are combined before they move."""
+    places = F.array(*[F.pmod(F.xxhash64("vec_id", F.lit(h)), F.lit(bits)) for h in range(hashes)])
+    set_ = ids.where("vec_id is not null").select(F.explode(places).alias("at"))
+    words = set_.groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(-(-bits // 64), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def maybe_in(rows: DataFrame, bloom: np.ndarray, bits: int = 1 << 23, hashes: int = 3) -> DataFrame:
+    """Rows whose vec_id may be one of the ids of a Bloom filter, without a shuffle; all that are, and few others. Rows of any columns."""
+    shared = rows.sparkSession.sparkContext.broadcast(bloom)
+    names = rows.columns
+    hashed = rows.select("*", *[F.pmod(F.xxhash64("vec_id", F.lit(h)), F.lit(bits)).alias(f"__bloom_{h}") for h in range(hashes)])
+
+    def run(batches):
+        words = shared.value
+        for batch in batches:
+            hit = np.ones(batch.num_rows, bool)
+            for h in range(hashes):
+                at = batch.column(f"__bloom_{h}").to_numpy()
+                hit &= (words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names).filter(pa.array(hit))
+
+    return hashed.mapInArrow(run, rows.schema)
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose vec_id is in `ids`: a Bloom filter first, so that few others are shuffled, and the set itself after it."""
+    return maybe_in(rows.where("vec_id is not null"), bloom_of(ids)).join(ids.select("vec_id").distinct(), "vec_id", "left_semi")

@@ -4,6 +4,9 @@ a table of distances by code, so that a row costs one look-up a part."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -132,3 +135,174 @@ def product_probes(queries: DataFrame, books: DataFrame, nprobe: int) -> DataFra
         near.append(search.knn(part, centers, nprobe).select("q_id", F.col("vec_id").alias(f"c{sub}"), F.col("score").alias(f"s{sub}")))
     cells = near[0].join(near[1], "q_id").select("q_id", (F.col("c0") * width + F.col("c1")).alias("vec_id"), (F.col("s0") + F.col("s1")).alias("score"))
     return search.ranked(cells, nprobe).select("q_id", F.col("vec_id").alias("list_no"), "score", F.col("rank").alias("probe_rank"))
+
+
+@dataclass(frozen=True)
+class Rotated:
+    """rotation (d x d, y = rotation @ x), codebooks of the rotated vectors, and the squared error of all rows by round."""
+
+    rotation: np.ndarray
+    books: DataFrame
+    errors: list[float]
+
+
+def opq(rows: DataFrame, parts: int, dim: int, codes: int = 256, rounds: int = 10, seed: int = 9) -> Rotated:
+    """A rotation that makes product codes of the vectors lose less, and its codebooks.
+
+    It starts from plain product quantisation and alternates: centres become the means of the parts coded with them, then
+    the rotation becomes the one that brings vectors nearest to what their codes stand for (orthogonal Procrustes, from
+    d x d cross products). Each half is one job over all rows that returns sums by task; the error never rises. Rows must
+    be finite and at least `codes`; null vectors are left out.
+    """
+    width = dim // parts
+    used = rows.where("embedding is not null")
+    first = used.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(codes).collect()
+    if len(first) < codes:
+        raise ValueError(f"{len(first)} rows are fewer than {codes} codes")
+    start = np.array([r.embedding for r in first], np.float64)
+    books = start.reshape(codes, parts, width).transpose(1, 0, 2).copy()
+    rotation, errors = np.eye(dim), []
+
+    def job(wants_rotation: bool) -> np.ndarray:
+        shared = rows.sparkSession.sparkContext.broadcast((rotation, books))
+
+        def sums(batches):
+            r, b = shared.value
+            total, n, cross, error = np.zeros_like(b), np.zeros(b.shape[:2]), np.zeros((dim, dim)), 0.0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = search._matrix(batch.column("embedding"))
+                y = x @ r.T
+                decoded = np.empty_like(y)
+                for sub in range(parts):
+                    part = y[:, sub * width : (sub + 1) * width]
+                    at = ((b[sub] ** 2).sum(1) - 2 * part @ b[sub].T).argmin(1)
+                    decoded[:, sub * width : (sub + 1) * width] = b[sub][at]
+                    n[sub] += np.bincount(at, minlength=codes)
+                    total[sub] += np.stack([np.bincount(at, weights=c, minlength=codes) for c in part.T], axis=1)
+                error += ((y - decoded) ** 2).sum()
+                if wants_rotation:
+                    cross += decoded.T @ x
+            flat = np.concatenate([[error], cross.ravel()] if wants_rotation else [[error], n.ravel(), total.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "x"])
+
+        parts_ = used.select("embedding").mapInArrow(sums, "i long, x double")
+        held = parts_.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()  # d * d, or d * codes, numbers
+        shared.unpersist()
+        errors.append(float(held[0]))
+        return held[1:]
+
+    for _ in range(rounds):
+        flat = job(False)
+        n, total = flat[: parts * codes].reshape(parts, codes), flat[parts * codes :].reshape(parts, codes, width)
+        books = np.where(n[:, :, None] > 0, total / np.maximum(n, 1)[:, :, None], books)
+        u, _, v = np.linalg.svd(job(True).reshape(dim, dim))
+        rotation = u @ v
+    flat = [(sub, code, books[sub, code].tolist()) for sub in range(parts) for code in range(codes)]
+    return Rotated(rotation, rows.sparkSession.createDataFrame(flat, "sub int, code int, center array<double>"), errors)
+
+
+def rotated(rows: DataFrame, rotation: np.ndarray) -> DataFrame:
+    """The rows with rotated vectors."""
+    shared = rows.sparkSession.sparkContext.broadcast(rotation)
+    names = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            y = search._matrix(batch.column("embedding")) @ shared.value.T if batch.num_rows else np.zeros((0, len(shared.value)))
+            ends = pa.array(np.arange(len(y) + 1, dtype=np.int32) * len(shared.value))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(y.ravel())) if n == "embedding" else batch.column(n) for n in names], names)
+
+    schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'embedding' else f.dataType.simpleString()}" for f in rows.schema)
+    return rows.where("embedding is not null").mapInArrow(run, schema)
+
+
+def polysemous(books: DataFrame, steps: int = 20_000, seed: int = 3) -> DataFrame:
+    """The same centres under new codes, such that codes of near centres differ in few bits: for each part, numbers are
+    swapped at random, and a swap stays if it brings the Hamming distances of codes closer to the (scaled) distances of
+    centres, near ones counting most; at first also if it does not. Each part has a power of two of codes."""
+    out = []
+    for sub, c in enumerate(_books(books)):
+        k = len(c)
+        if k & (k - 1):
+            raise ValueError(f"{k} codes are no power of two")
+        rng = np.random.default_rng(seed + sub)
+        bits = np.bitwise_count(np.arange(k)[:, None] ^ np.arange(k)).astype(float)
+        d = np.sqrt(np.maximum(((c[:, None] - c) ** 2).sum(2), 0))
+        off = ~np.eye(k, dtype=bool)
+        spread = d[off].std() or 1.0
+        target = (d - d[off].mean()) / spread * bits[off].std() + bits[off].mean() if k > 1 else d
+        weight = np.exp(-0.5 * np.maximum(target, 0)) * off
+        number = np.arange(k)  # code of each centre
+
+        def loss_of(rows, number):
+            return 2 * (weight[rows] * (bits[number[rows]][:, number] - target[rows]) ** 2).sum()
+
+        heat = loss_of(np.arange(k), number) / max(1, k) / 10
+        for step in range(steps if k > 2 else 0):
+            pair = rng.choice(k, 2, replace=False)
+            before = loss_of(pair, number)
+            number[pair] = number[pair[::-1]]
+            worse = loss_of(pair, number) - before
+            if worse > 0 and rng.random() >= np.exp(-worse / max(heat, 1e-300)):
+                number[pair] = number[pair[::-1]]
+            heat *= 0.9995
+        out += [(sub, int(number[i]), c[i].tolist()) for i in range(k)]
+    return books.sparkSession.createDataFrame(out, "sub int, code int, center array<double>")
+
+
+def _polysemous(queries: DataFrame, coded: DataFrame, books: DataFrame, most_bits: int, score) -> DataFrame:
+    """score(tables, near pairs' queries, codes of their rows, query ids, row ids) over rows (vec_id, code) whose codes differ in
+    at most `most_bits` bits from the query's own."""
+    sizes = [len(b) for b in _books(books)]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    asked = tables(encode(queries.select("q_id", "embedding"), books), books)
+    blocks = max(1, -(-queries.count() * sum(sizes) * 8 // search.BROADCAST_BYTES))
+    found = []
+    for block in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if not held.num_rows:
+            continue
+        shared = queries.sparkSession.sparkContext.broadcast((held.column("q_id").to_numpy(), search._matrix(held.column("embedding").combine_chunks()), search._matrix(held.column("code").combine_chunks()).astype(np.int64)))
+
+        def run(batches):
+            ids, table, own = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes = search._matrix(batch.column("code")).astype(np.int64)
+                for lo in range(0, len(ids), 64):
+                    differ = np.zeros((len(ids[lo : lo + 64]), len(codes)), np.int32)
+                    for sub in range(codes.shape[1]):
+                        differ += np.bitwise_count(own[lo : lo + 64, sub, None] ^ codes[:, sub])
+                    i, j = np.nonzero(differ <= most_bits)
+                    yield score(table, lo + i, codes[j] + starts, ids, batch.column("vec_id").to_numpy()[j])
+
+        found.append(coded.select("vec_id", "code").mapInArrow(run, search.RESULT))
+    return reduce(lambda a, b: a.unionByName(b), found) if found else queries.sparkSession.createDataFrame([], search.RESULT)
+
+
+def polysemous_knn(queries: DataFrame, coded: DataFrame, books: DataFrame, k: int, most_bits: int) -> DataFrame:
+    """(q_id, vec_id, score, rank): like knn, but distances are looked up only for rows whose codes differ in at most
+    `most_bits` bits from the query's own; `books` come from polysemous(), `coded` was encoded with them. Queries go to every
+    task in blocks of at most `BROADCAST_BYTES` of tables."""
+
+    def look_up(table, q, places, ids, vec):
+        s = table[q[:, None], places].sum(1)
+        order = np.lexsort((vec, s, q))
+        q, s, vec = q[order], s[order], vec[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return pa.RecordBatch.from_arrays([pa.array(ids[q[first]]), pa.array(vec[first]), pa.array(s[first])], ["q_id", "vec_id", "score"])
+
+    return search.ranked(_polysemous(queries, coded, books, most_bits, look_up), k)
+
+
+def polysemous_rate(queries: DataFrame, coded: DataFrame, books: DataFrame, most_bits: int) -> float:
+    """The share of pairs of query and row that get past the bits."""
+
+    def count(table, q, places, ids, vec):
+        return pa.RecordBatch.from_arrays([pa.array([0]), pa.array([len(q)]), pa.array([0.0])], ["q_id", "vec_id", "score"])
+
+    passed = _polysemous(queries, coded, books, most_bits, count).agg(F.coalesce(F.sum("vec_id"), F.lit(0))).first()[0]
+    return passed / max(1, queries.where("embedding is not null").count() * coded.count())
