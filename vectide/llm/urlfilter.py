@@ -13,7 +13,10 @@ from vectide.llm.common import hash_sample, materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-FEATURES = ["url_length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "https", "tld_rate", "tld_count", "domain_rate", "domain_count"]
+#: Parts of a URL whose share of blocked URLs is a feature: last label and last two labels of the host, first part of the
+#: path, that with the last label, and what follows the last dot of the path's last part.
+SUFFIXES = ("tld", "domain", "head", "tld_head", "extension")
+FEATURES = ["url_length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "https", *(f"{key}_{what}" for key in SUFFIXES for what in ("rate", "count"))]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -63,16 +66,18 @@ def lexical(pages: DataFrame) -> DataFrame:
         "has_fragment": F.contains(url, F.lit("#")),
         "https": F.startswith(F.lower(F.substring(url, 1, 8)), F.lit("https://")),
     }
-    return pages.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in found.items()} | {"tld": _suffix(F.col("host"), 1), "domain": _suffix(F.col("host"), 2)})
+    head = F.regexp_extract("path", "^/([^/]*)", 1)
+    parts = {"tld": _suffix(F.col("host"), 1), "domain": _suffix(F.col("host"), 2), "head": head, "tld_head": F.concat_ws("/", _suffix(F.col("host"), 1), head), "extension": F.regexp_extract("path", r"\.([^./]*)$", 1)}
+    return pages.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in found.items()} | parts)
 
 
 def with_suffix_rates(rows: DataFrame, label: Column, prior: float, smoothing: float) -> DataFrame:
-    """Adds, for the last label and the last two labels of the host, the smoothed share of blocked URLs and the log count
+    """Adds, for each of SUFFIXES among the columns, the smoothed share of blocked URLs and the log count
     among labelled rows. A labelled row sees only what rows of the other half (by hash of its URL) say, so its own label
     never becomes a feature of it."""
     half = F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(2))
     rows = rows.withColumn("__half", F.when(label.isNotNull(), half))
-    for key in ("tld", "domain"):
+    for key in [k for k in SUFFIXES if k in rows.columns]:
         in_half = lambda h, what: F.coalesce(F.sum(F.when(F.col("__half") == h, what)), F.lit(0.0))
         counted = rows.where("__half is not null").groupBy(key).agg(*[in_half(h, F.lit(1.0)).alias(f"__n{h}") for h in (0, 1)], *[in_half(h, label).alias(f"__b{h}") for h in (0, 1)])
         rows = rows.join(counted, key, "left")
@@ -85,7 +90,7 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = 8192, trees: int = 12
     """(page_id, host, path, rule, verdict, score) for every row: the longest fitting rule's verdict, else the model's.
 
     URLs that a rule judges are the labelled ones. Suffix statistics (smoothed share of blocked URLs and log count, by
-    last label and by last two labels of the host) are counted over all of them, for a labelled URL over the other half of
+    each of SUFFIXES) are counted over all of them, for a labelled URL over the other half of
     them; the trees are fitted on at most `train_rows` labelled URLs, chosen by hash. score is the model's probability of block, for every row; without
     labels of both kinds it is the share of blocked labels (0 if there are none) and decides alone. Null and malformed
     URLs have empty host and path, fit no rule and are judged by the model; repeated rows give a row each.
