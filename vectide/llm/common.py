@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,7 +77,15 @@ def text_slices(batches, budget: int = 4 << 20, column: str = "text") -> Iterato
     """Cut Arrow batches so that each piece holds about `budget` bytes of text (a longer single text stays whole). What
     Arrow has freed goes back to the system when all are through: the worker may wait for its next task a long time."""
     yield from _text_slices(batches, budget, column)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system, where its C library can: idle workers stay with their executor."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _text_slices(batches, budget: int, column: str) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import components, flat_text, forest, materialize, text_slices
+from vectide.llm.common import components, flat_text, forest, give_back, materialize, text_slices
 
 BITS = 64
 
@@ -267,9 +267,13 @@ def _prefix_tokens(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "root", "n", "prefix").mapInArrow(spread, "token long, node long, root long, n int, pos int")
 
 
+#: Any eight different numbers.
+MIX = np.arange(1, 9, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFrame:
     """(a, b, token): pairs of nodes with different roots that share a token and may reach `share`; of tokens that more
-    than `hub` nodes have, only pairs with one of these, and the token itself is told. None: all pairs of all tokens.
+    than `hub` nodes have, only pairs with one of these (chosen by the token, of eight), and the token itself is told. None: all pairs of all tokens.
 
     Two sets of that similarity share a shingle of their prefixes, their sizes allow for it, and so does what follows
     the first shared shingle, and the bits in which their signatures differ, if `tokens` has them (sig).
@@ -306,7 +310,9 @@ def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFr
                 if (root[at : at + k] == root[at]).all():
                     continue
                 if hub is not None:
-                    x, y = np.full(k, at + int(node[at : at + k].argmin())), np.arange(at, at + k)
+                    # one of eight nodes, by the token: a group that shares many tokens meets several of its own
+                    mixed = (node[at : at + k].view(np.uint64) ^ MIX[int(token[at]) & 7]) * np.uint64(0x9E3779B97F4A7C15)
+                    x, y = np.full(k, at + int(mixed.argmin())), np.arange(at, at + k)
                     ok = fits(x, y, root, n, pos, *sig)
                     found.append((node[x[ok]], node[y[ok]]))
                     continue
@@ -340,13 +346,16 @@ def _prefix_pairs(tokens: DataFrame, share: Fraction, hub: int | None) -> DataFr
                 cols.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, 8))
             held.append(cols)
             waiting += batch.num_rows
-            if waiting >= 1 << 17:  # pairs that meet at many tokens are told once
+            if waiting >= 1 << 15:  # pairs that meet at many tokens are told once
                 cols = take(False)
                 if len(cols[0]):
                     yield from solve(cols)
                 waiting = 0
         if held and len((cols := take(True))[0]):
             yield from solve(cols)
+        cols = None
+        held.clear()
+        give_back()
 
     return tokens.select(*names).repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, token long").distinct()
 
