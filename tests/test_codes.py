@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_stored import moved
-from vectide.operators import index, quantizers, search
+from vectide.operators import codecs, index, quantizers, search
 
 pytestmark = pytest.mark.seconds(200)
 
@@ -80,3 +80,21 @@ def test_bloom_filter(spark, made):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert index.among(rows, ids.limit(0)).count() == 0
+
+
+def test_square_waves(spark, made):
+    """Bits by hand, and recall beside sign bits: with a period wider than the data both tell the same, a shorter one tells more of near rows."""
+    row = spark.createDataFrame([([0.0, 0.6, 1.1, -0.4, 2.2], [0.0, 0.0, 0.0, 0.0, 0.0])], "v array<double>, c array<double>")
+    words = row.select(codecs.spectral_words(F.col("v"), F.col("c"), 1.0, 5).alias("w")).first().w
+    assert words == [0b01010]  # in halves of a period: 0, 1, 2, -1, 4
+    x, rows = made
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    centroids = spark.createDataFrame([(0, x.mean(0).tolist())], "list_no int, embedding array<double>")
+    lists = rows.withColumn("list_no", F.lit(0))
+    exact = {(r.q_id, r.vec_id) for r in search.knn(queries, rows, 5).collect()}
+    recalls = {}
+    for period in (1e6, 8.0):
+        found = search.spectral(queries, queries.select("q_id", F.lit(0).alias("list_no")), centroids, lists, 30, period, 16)
+        recalls[period] = len(exact & {(r.q_id, r.vec_id) for r in found.collect()}) / len(exact)
+    print("square waves: recall of 5 in 30 by period", recalls)
+    assert recalls[8.0] > 0.1

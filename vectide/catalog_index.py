@@ -150,3 +150,14 @@ def polysemous_knn(spark, d):
     found = best(quantizers.polysemous_knn(q, coded, new, 5, 13))
     same = best(quantizers.polysemous_knn(q, coded, new, 5, 32)) == wanted
     return coded.agg(F.count("*").alias("n")).select(F.lit(same).alias("same_without_filter"), F.lit(rate < 0.5).alias("fewer"), F.lit(len(found & wanted) >= 0.7 * len(wanted)).alias("kept"), "n")
+
+
+_WAVE = "(CAST(floor(({v}[i] - cv[i]) * (2.0 / 0.35)) AS BIGINT) & 1)"
+
+
+@query("spectral_knn", PROBES + f"""SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score, vec_id) AS rank
+FROM (SELECT q_id, vec_id, list_sum([xor({_WAVE.format(v="qv")}, {_WAVE.format(v="v")}) FOR i IN generate_series(1, 48)]) AS score FROM p JOIN c USING (list_no) JOIN e ON label = p.list_no)) WHERE rank <= 10""")
+def spectral_knn(spark, d):
+    """Square-wave bits in lists, 48 of them."""
+    found = search.spectral(asked(spark, d), search.probes(asked(spark, d), centroids(spark, d), 3), centroids(spark, d), lists(spark, d), 10, 0.35, 48)
+    return found.select("q_id", "vec_id", "rank", "score")

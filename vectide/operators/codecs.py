@@ -163,3 +163,10 @@ def multi_hash_pairs(queries: DataFrame, coded: DataFrame, flips: int, bits: int
     pairs = asked.join(stored, ["h", "bucket"]).select("q_id", "vec_id").distinct()
     both = pairs.join(queries.select("q_id", F.col("words").alias("q")), "q_id").join(coded.select("vec_id", "words"), "vec_id")
     return both.select("q_id", "vec_id", V.hamming(F.col("q"), F.col("words")).alias("score"))
+
+
+def spectral_words(v: Column, center: Column, period: float, size: int) -> Column:
+    """Bits of the first `size` components: whether a square wave of this period, at 0 in the centre, is in its second half;
+    packed like sign bits."""
+    half = F.zip_with(F.slice(V.doubles(v), 1, size), F.slice(V.doubles(center), 1, size), lambda a, c: F.floor((a - c) * (2.0 / period)))
+    return V.sign_words(F.transform(half, lambda h: F.when(F.pmod(h, F.lit(2)) == 1, 1.0).otherwise(-1.0)), size)

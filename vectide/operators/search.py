@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
+from vectide.operators import codecs
 from vectide.sources.written import written
 
 #: Queries of at most this size are sent to every task; more of them meet the data in blocks of a grid.
@@ -524,3 +525,14 @@ def nearest_values(queries: DataFrame, values: DataFrame, k: int, rows_per_range
 
     hits = dealt.mapInArrow(solve, "x double, vec_id long, score double")
     return ranked(asked.join(hits, "x").select("q_id", "vec_id", "score"), k)
+
+
+def spectral(queries: DataFrame, probed: DataFrame, centroids: DataFrame, lists: DataFrame, k: int, period: float, size: int) -> DataFrame:
+    """(q_id, vec_id, list_no, score, rank): lists hold square-wave bits of their rows, taken from the list's centroid; a query
+    has bits of its own for each list it probes, and score is the Hamming distance. All tables come transformed (rotated,
+    say) alike; more than `size` components do not count."""
+    center = centroids.select("list_no", F.col("embedding").alias("c"))
+    words = codecs.spectral_words(F.col("embedding"), F.col("c"), period, size).alias("embedding")
+    coded = lists.where("embedding is not null").join(center, "list_no").select("list_no", "vec_id", words)
+    asked = probed.select("q_id", "list_no").join(queries.where("embedding is not null").select("q_id", "embedding"), "q_id").join(center, "list_no").select("q_id", "list_no", words)
+    return ranked(_by_list(asked, coded, "hamming", k, None), k)
