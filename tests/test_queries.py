@@ -6,6 +6,7 @@ from tests.compare import assert_same, duck, rows_of
 from vectide import catalog
 
 SF = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.seconds(300)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
