@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.catalog import PROBES, SQL_METRIC, _rounded, _top, asked, centroids, lists, query, rows
 from vectide.functions import vectors as V
-from vectide.operators import clustering, graphs, index, quantizers, search, stored
+from vectide.operators import additive, clustering, graphs, index, quantizers, search, stored
 from vectide.sources import vecs
 from vectide.sources.written import new_folder
 
@@ -161,3 +161,45 @@ def spectral_knn(spark, d):
     """Square-wave bits in lists, 48 of them."""
     found = search.spectral(asked(spark, d), search.probes(asked(spark, d), centroids(spark, d), 3), centroids(spark, d), lists(spark, d), 10, 0.35, 48)
     return found.select("q_id", "vec_id", "rank", "score")
+
+
+# --- additive codes ---
+
+
+def _two_books(spark, d):
+    """Means of the vectors by the last and by the next digit of the id, base 16."""
+    digit = lambda by: quantizers.from_groups(rows(spark, d).withColumn("k", F.pmod(F.floor(F.col("vec_id") / by), F.lit(16))), "k", 1, 64)
+    return digit(1).unionByName(digit(16).withColumn("sub", F.lit(1)))
+
+
+@query("beam_codes", """& b AS (SELECT part, k, list(m ORDER BY i) AS bv FROM (SELECT part, (vec_id // CAST(pow(16, part) AS BIGINT)) % 16 AS k, i, avg(v[i]) AS m FROM e, (SELECT unnest([0, 1]) AS part), (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT x.k AS c1, y.k AS c2, [z[1] + z[2] FOR z IN list_zip(x.bv, y.bv)] AS sv FROM b x JOIN b y ON x.part = 0 AND y.part = 1)
+SELECT vec_id, CAST(c1 AS INTEGER) AS c1, CAST(c2 AS INTEGER) AS c2, round(dist, 5) AS error FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, c1, c2) AS r FROM (SELECT vec_id, c1, c2, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, sv)]) AS dist FROM e, s)) WHERE r = 1""")
+def beam_codes(spark, d):
+    """The best two additive codes of every vector: a beam that holds all beginnings."""
+    coded = additive.beam_codes(rows(spark, d).select("vec_id", "embedding"), _two_books(spark, d), 16)
+    return _rounded(coded.select("vec_id", F.col("codes")[0].alias("c1"), F.col("codes")[1].alias("c2"), "error"), "error")
+
+
+@query("local_search_codes", "SELECT TRUE AS below_greedy, TRUE AS never_rises, TRUE AS below_beam, count(*) AS coded FROM embeddings WHERE embedding IS NOT NULL", tables=False)
+def local_search_codes(spark, d):
+    """Four additive codes of every vector with books by least squares and codes by local search: whether the error is below that of
+    greedy codes with books of their own and below that of the beam it starts from, whether a round made it worse, rows coded."""
+    every = rows(spark, d).select("vec_id", "embedding")
+    told = additive.train_local(every, 4, 16, rounds=3, beam=4)
+    greedy = additive.beam_codes(every, additive.train(every, 4, 16, beam=1), 1).agg(F.sum("error")).first()[0]
+    falls = all(y <= x * (1 + 1e-9) for x, y in zip(told.errors, told.errors[1:]))
+    return told.coded.agg(F.count("*").alias("coded")).select(F.lit(told.errors[-1] < greedy).alias("below_greedy"), F.lit(falls).alias("never_rises"), F.lit(told.errors[-1] < told.errors[0]).alias("below_beam"), "coded")
+
+
+@query("additive_knn", "SELECT q_id, CAST(rank AS INTEGER) AS rank, TRUE AS within_half_a_step FROM q, (SELECT unnest(generate_series(1, 10)) AS rank)")
+def additive_knn(spark, d):
+    """Searches by tables over additive codes with coded lengths: of every hit, whether its score is the distance to the sum of
+    its centres up to half a step of the lengths."""
+    books = _two_books(spark, d)
+    coded = additive.beam_codes(rows(spark, d).select("vec_id", "embedding"), books, 16)
+    numbered, norms = additive.with_norms(coded, books)
+    hits = additive.knn(asked(spark, d), numbered, books, norms, 10)
+    both = hits.join(additive.decoded(coded, books).select("vec_id", "decoded"), "vec_id").join(asked(spark, d).select("q_id", "embedding"), "q_id")
+    off = F.abs(V.metric("l2", V.doubles(F.col("embedding")), F.col("decoded")) - F.col("score"))
+    return both.select("q_id", "rank", (off <= norms.step / 2 + 1e-6).alias("within_half_a_step"))

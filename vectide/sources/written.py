@@ -37,3 +37,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder or file is there, in any store that Spark reaches."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_folder() named."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
