@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from vectide.catalog import PROBES, SQL_METRIC, _rounded, _top, asked, centroids, lists, query, rows
+from vectide.catalog import ORACLE_SQL, PROBES, SQL_METRIC, _rounded, _top, asked, centroids, lists, query, rows
 from vectide.functions import vectors as V
-from vectide.operators import additive, clustering, graphs, index, quantizers, search, stored
+from vectide.operators import additive, clustering, graphs, index, quantizers, search, stored, stored_text
 from vectide.sources import vecs
 from vectide.sources.written import new_folder
 
@@ -203,3 +203,13 @@ def additive_knn(spark, d):
     both = hits.join(additive.decoded(coded, books).select("vec_id", "decoded"), "vec_id").join(asked(spark, d).select("q_id", "embedding"), "q_id")
     off = F.abs(V.metric("l2", V.doubles(F.col("embedding")), F.col("decoded")) - F.col("score"))
     return both.select("q_id", "rank", (off <= norms.step / 2 + 1e-6).alias("within_half_a_step"))
+
+
+# --- stored postings ---
+
+
+@query("stored_bm25", ORACLE_SQL["bm25_search"], tables=False)
+def stored_bm25(spark, d):
+    """Postings written once, and a search that opens the partitions of its words."""
+    q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("q_id"), "text")
+    return _rounded(stored_text.find(q, stored_text.write(spark.read.parquet(f"{d}/documents.parquet"), new_folder(spark, "postings")), 3), "score")

@@ -65,14 +65,15 @@ def bm25_sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(dl.alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(queries: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, sizes: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(q_id, id, score, rank): the k best documents of each query (q_id, text); a query's word counts once. `sizes` is what
-    bm25_sizes() tells of the documents; without it, it is taken from the postings. Only postings of asked words go on."""
+    bm25_sizes() tells of the documents, `known` (term, df) in how many of them words are; without them, both are taken from
+    the postings. Only postings of asked words go on."""
     if sizes is None:
         sizes = postings.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("q_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     wanted = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    df = wanted.groupBy("term").agg(F.count("*").alias("df")) if known is None else known
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hits = asked.join(df, "term").join(wanted, "term").join(F.broadcast(sizes))
