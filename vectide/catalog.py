@@ -214,12 +214,7 @@ def knn_shards(spark, d):
 @query("split_vectors", "SELECT q_id, vec_id, round(s, 5) AS score FROM (SELECT q_id, vec_id, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(qv, v)]) AS s FROM q, e) WHERE s < 1.7")
 def split_vectors(spark, d):
     """Distances of halves of the dimensions, summed for each pair."""
-    halves = []
-    for lo in (1, 33):
-        half = F.slice("embedding", lo, 32).alias("embedding")
-        halves.append(search.within(asked(spark, d).select("q_id", half), rows(spark, d).select("vec_id", half), 1.7))
-    both = halves[0].join(halves[1].withColumnRenamed("score", "other"), ["q_id", "vec_id"])
-    return _rounded(both.withColumn("score", F.col("score") + F.col("other")).where("score < 1.7").select("q_id", "vec_id", "score"), "score")
+    return _rounded(search.within_by_parts(asked(spark, d), rows(spark, d), 1.7), "score")
 
 
 @query("margin", "& s AS (SELECT q_id, vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(qv, v)]) AS score FROM q JOIN e ON vec_id <> q_id), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 4), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, q_id) AS r FROM s) WHERE r <= 4) SELECT f.q_id, f.vec_id, round(2 * score / (mq + mx), 5) AS margin FROM f JOIN (SELECT q_id, avg(score) AS mq FROM f GROUP BY q_id) USING (q_id) JOIN (SELECT vec_id, avg(score) AS mx FROM b GROUP BY vec_id) USING (vec_id)")
