@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import text as T
 from vectide.functions import vectors as V
-from vectide.operators import clustering, codecs, evaluate, index, search
+from vectide.operators import clustering, codecs, evaluate, index, search, text_search
 from vectide.plans import graph, workflow
 from vectide.sources.written import new_folder
 from vectide.streaming import windows
@@ -574,7 +574,7 @@ SELECT q_id, id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (S
 def bm25_search(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("q_id"), "text")
-    return _rounded(T.bm25(q, T.bm25_index(docs), 3, sizes=T.bm25_sizes(docs)), "score")
+    return _rounded(text_search.find(q, docs, 3), "score")
 
 
 @query("middle_out", "SELECT doc_id, CASE WHEN len(w) <= 20 THEN text ELSE array_to_string(list_concat(w[1:10], w[-10:]), ' ') END AS prompt FROM (SELECT doc_id, text, regexp_split_to_array(trim(text, ' '), '\\s+') AS w FROM documents)", tables=False)
