@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.functions import text as T
+from vectide.operators import text_search
 
 MOST_LISTED = 1000  # asked words up to which the scan gets them as a list
 
@@ -30,7 +31,7 @@ def write(docs: DataFrame, path: str, buckets: int = 64, rows_per_file: int = 5_
     """Store the postings of all documents; those with null text or without words have none. Rows are dealt by ranges of
     (bucket, word, id), so that a frequent word is written by many tasks. Sizes come last: a folder without them is not finished."""
     spark = docs.sparkSession
-    found = T.bm25_index(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term"), buckets))
+    found = text_search.postings(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term"), buckets))
     dealt = found.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
     dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("bucket").parquet(f"{path}/postings")
     found.limit(0).drop("bucket").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
@@ -65,4 +66,4 @@ def asked_only(queries: DataFrame, stored: StoredText) -> tuple[DataFrame, DataF
 def find(queries: DataFrame, stored: StoredText, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(q_id, id, score, rank): as text.bm25, over stored postings; how many documents have a word is read, not counted."""
     postings, terms = asked_only(queries, stored)
-    return T.bm25(queries, postings.select("term", "id", "tf", "dl"), k, k1, b, stored.sizes.select("n", "avgdl"), terms.select("term", "df"))
+    return text_search.over_postings(queries, postings.select("term", "id", "tf", "dl"), k, stored.sizes, terms.select("term", "df"), k1, b)
