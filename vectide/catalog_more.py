@@ -412,6 +412,5 @@ def kept_messages(spark, d):
 def sparse_assign(spark, d):
     """Documents as sparse counts of hashed words, each with the centroid of the largest inner product."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    words = docs.select(F.col("doc_id").alias("vec_id"), F.explode(F.transform(T.words(F.col("text")), lambda w: T.bucket_of(w, 64))).alias("pos"))
-    sparse = words.groupBy("vec_id", "pos").agg(F.count("*").cast("double").alias("x"))
-    return _rounded(index.assign_sparse(sparse, centroids(spark, d)), "score", digits=4)
+    places = docs.select(F.col("doc_id").alias("vec_id"), F.transform(T.words(F.col("text")), lambda w: T.bucket_of(w, 64)).alias("places"))
+    return _rounded(index.assign_counts(places, centroids(spark, d)), "score", digits=4)

@@ -196,6 +196,34 @@ def assign_sparse(sparse: DataFrame, centroids: DataFrame) -> DataFrame:
     return scores.withColumn("n", first).where("n = 1").select("vec_id", F.col("list_no").cast("int").alias("list_no"), "score")
 
 
+def assign_counts(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(vec_id, list_no, score): as assign_sparse of how often each place is in rows (vec_id, places array<int>), counted and scored
+    in the row, without a shuffle. Rows without places have no list. Ids that repeat, lists without number and more than
+    `BROADCAST_BYTES` of centroids take assign_sparse."""
+    size, unnumbered = centroids.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0)), F.count(F.when(F.col("list_no").isNull(), 1))).first()
+    if size > BROADCAST_BYTES or unnumbered or not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        flat = rows.select("vec_id", F.explode("places").alias("pos"))
+        return assign_sparse(flat.groupBy("vec_id", "pos").agg(F.count("*").cast("double").alias("x")), centroids)
+    held = centroids.orderBy("list_no").collect()
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r.list_no for r in held], np.int32), np.array([r.embedding for r in held], np.float64)))
+
+    def scan(batches):
+        numbers, c = shared.value
+        for some in batches:
+            for batch in (some.slice(lo, 1024) for lo in range(0, some.num_rows if len(numbers) else 0, 1024)):
+                n = batch.column("places").value_lengths().to_numpy(zero_copy_only=False)
+                at = batch.column("places").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(n)), n)
+                known = (at >= 0) & (at < c.shape[1])
+                x = np.bincount(row[known] * c.shape[1] + at[known], minlength=len(n) * c.shape[1]).reshape(len(n), -1)
+                score = x @ c.T
+                best = (np.floor(score * 1e9 + 0.5)).argmax(1)
+                told = np.flatnonzero(x.any(1))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(told)), pa.array(numbers[best[told]]), pa.array(score[told, best[told]])], ["vec_id", "list_no", "score"])
+
+    return rows.where("places is not null").select("vec_id", F.col("places").cast("array<int>").alias("places")).mapInArrow(scan, "vec_id long, list_no int, score double")
+
+
 def bloom_of(ids: DataFrame, bits: int = 1 << 23, hashes: int = 3) -> np.ndarray:
     """A Bloom filter of the ids (vec_id) as 64-bit words: a table of fixed size (1 MB by default), whatever their number. Words
     are combined before they move."""
