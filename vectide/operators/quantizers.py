@@ -16,6 +16,10 @@ from vectide.functions import vectors as V
 from vectide.operators import clustering, search
 
 
+#: Rows that a task works on at a time: what lies between a batch and its result is bounded by it.
+SLICE = 1024
+
+
 def part_of(v: Column, sub: int, width: int) -> Column:
     return F.slice(V.doubles(v), sub * width + 1, width)
 
@@ -52,11 +56,13 @@ def encode(rows: DataFrame, books: DataFrame, vector: str = "embedding") -> Data
     def run(batches):
         for batch in batches:
             x = search._matrix(batch.column(vector))
-            codes, at = np.empty((len(x), len(shared.value)), np.int32), 0
-            for sub, c in enumerate(shared.value):
-                part = x[:, at : at + c.shape[1]]
-                at += c.shape[1]
-                codes[:, sub] = ((part[:, None] - c) ** 2).sum(2).argmin(1) if len(part) * c.size < 1 << 22 else ((c**2).sum(1) - 2 * part @ c.T).argmin(1)
+            codes = np.empty((len(x), len(shared.value)), np.int32)
+            for lo in range(0, len(x), SLICE):
+                at = 0
+                for sub, c in enumerate(shared.value):
+                    part = x[lo : lo + SLICE, at : at + c.shape[1]]
+                    at += c.shape[1]
+                    codes[lo : lo + SLICE, sub] = ((part[:, None] - c) ** 2).sum(2).argmin(1) if SLICE * c.size < 1 << 20 else ((c**2).sum(1) - 2 * part @ c.T).argmin(1)
             ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * codes.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(codes.ravel()))], [*names, "code"])
 
@@ -169,9 +175,7 @@ def opq(rows: DataFrame, parts: int, dim: int, codes: int = 256, rounds: int = 1
         def sums(batches):
             r, b = shared.value
             total, n, cross, error = np.zeros_like(b), np.zeros(b.shape[:2]), np.zeros((dim, dim)), 0.0
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (some.slice(lo, SLICE) for some in batches for lo in range(0, some.num_rows, SLICE)):
                 x = search._matrix(batch.column("embedding"))
                 y = x @ r.T
                 decoded = np.empty_like(y)
