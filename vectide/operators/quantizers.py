@@ -256,9 +256,10 @@ def polysemous(books: DataFrame, steps: int = 20_000, seed: int = 3) -> DataFram
     return books.sparkSession.createDataFrame(out, "sub int, code int, center array<double>")
 
 
-def _polysemous(queries: DataFrame, coded: DataFrame, books: DataFrame, most_bits: int, score) -> DataFrame:
-    """score(tables, near pairs' queries, codes of their rows, query ids, row ids) over rows (vec_id, code) whose codes differ in
-    at most `most_bits` bits from the query's own."""
+def _polysemous(queries: DataFrame, coded: DataFrame, books: DataFrame, most_bits: int, k: int) -> DataFrame:
+    """(q_id, vec_id, score): the k best of each query and task over rows (vec_id, code) whose codes differ in at most `most_bits` bits
+    from the query's own; for k = 0 rows with their number as vec_id. A task holds the k best and looks at 64 queries and
+    `SLICE` rows at a time."""
     sizes = [len(b) for b in _books(books)]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     asked = tables(encode(queries.select("q_id", "embedding"), books), books)
@@ -270,18 +271,22 @@ def _polysemous(queries: DataFrame, coded: DataFrame, books: DataFrame, most_bit
             continue
         shared = queries.sparkSession.sparkContext.broadcast((held.column("q_id").to_numpy(), search._matrix(held.column("embedding").combine_chunks()), search._matrix(held.column("code").combine_chunks()).astype(np.int64)))
 
-        def run(batches):
+        def run(batches, shared=shared):
             ids, table, own = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes = search._matrix(batch.column("code")).astype(np.int64)
+            best, passed = search._Best(ids, table, "l2", k, None, 3.0) if k else None, 0
+            for batch in (some.slice(lo, SLICE) for some in batches for lo in range(0, some.num_rows, SLICE)):
+                codes, vec = search._matrix(batch.column("code")).astype(np.int64), batch.column("vec_id").to_numpy()
                 for lo in range(0, len(ids), 64):
                     differ = np.zeros((len(ids[lo : lo + 64]), len(codes)), np.int32)
                     for sub in range(codes.shape[1]):
                         differ += np.bitwise_count(own[lo : lo + 64, sub, None] ^ codes[:, sub])
                     i, j = np.nonzero(differ <= most_bits)
-                    yield score(table, lo + i, codes[j] + starts, ids, batch.column("vec_id").to_numpy()[j])
+                    passed += len(i)
+                    if best:
+                        score = table[(lo + i)[:, None], codes[j] + starts].sum(1)
+                        near = score <= best._worst(lo + i)
+                        best._keep(lo + i[near], vec[j[near]], score[near])
+            yield from search._batches(best.rest() if best else [(np.zeros(1, np.int64), np.array([passed]), np.zeros(1))])
 
         found.append(coded.select("vec_id", "code").mapInArrow(run, search.RESULT))
     return reduce(lambda a, b: a.unionByName(b), found) if found else queries.sparkSession.createDataFrame([], search.RESULT)
@@ -291,22 +296,10 @@ def polysemous_knn(queries: DataFrame, coded: DataFrame, books: DataFrame, k: in
     """(q_id, vec_id, score, rank): like knn, but distances are looked up only for rows whose codes differ in at most
     `most_bits` bits from the query's own; `books` come from polysemous(), `coded` was encoded with them. Queries go to every
     task in blocks of at most `BROADCAST_BYTES` of tables."""
-
-    def look_up(table, q, places, ids, vec):
-        s = table[q[:, None], places].sum(1)
-        order = np.lexsort((vec, s, q))
-        q, s, vec = q[order], s[order], vec[order]
-        first = np.arange(len(q)) - np.searchsorted(q, q) < k
-        return pa.RecordBatch.from_arrays([pa.array(ids[q[first]]), pa.array(vec[first]), pa.array(s[first])], ["q_id", "vec_id", "score"])
-
-    return search.ranked(_polysemous(queries, coded, books, most_bits, look_up), k)
+    return search.ranked(_polysemous(queries, coded, books, most_bits, k), k)
 
 
 def polysemous_rate(queries: DataFrame, coded: DataFrame, books: DataFrame, most_bits: int) -> float:
     """The share of pairs of query and row that get past the bits."""
-
-    def count(table, q, places, ids, vec):
-        return pa.RecordBatch.from_arrays([pa.array([0]), pa.array([len(q)]), pa.array([0.0])], ["q_id", "vec_id", "score"])
-
-    passed = _polysemous(queries, coded, books, most_bits, count).agg(F.coalesce(F.sum("vec_id"), F.lit(0))).first()[0]
+    passed = _polysemous(queries, coded, books, most_bits, 0).agg(F.coalesce(F.sum("vec_id"), F.lit(0))).first()[0]
     return passed / max(1, queries.where("embedding is not null").count() * coded.count())
