@@ -20,6 +20,7 @@ the merges make of that pair's bytes, so the last token of every prefix follows
 from __future__ import annotations
 
 import json
+import marshal
 import re
 from bisect import bisect_left
 from itertools import takewhile
@@ -143,13 +144,18 @@ def word_starts(classes: np.ndarray, width: int = 256) -> np.ndarray:
 
 
 class Merger:
-    """The lazily determinised merge transducer of one vocabulary."""
+    """The lazily determinised merge transducer of one vocabulary.
+
+    Every Python worker of an executor holds one, so it is kept small: the table has a column for each byte that texts
+    have held so far, grows in place by a few thousand states at a time, and states are held in packed form.
+    """
 
     def __init__(self, spec: dict, max_states: int = 60_000):
         self.vocab, self.max_states, self.merges = spec["vocab"], max_states, spec["merges"]
         self.made = {i: (rank, *pair) for pair, (rank, i) in reversed(spec["merges"].items())}  # the first merge that makes it
         self.sorted = sorted(self.vocab)  # tokens with one beginning lie together
         self.made_tables = 0
+        self.column, self.byte = np.full(256, -1, np.int16), []  # by byte, and the bytes by column
         self.length = np.zeros(max(self.vocab.values()) + 1, np.int32)
         for t, i in self.vocab.items():
             self.length[i] = len(t)
@@ -157,27 +163,38 @@ class Merger:
 
     def _clear(self) -> None:
         self.made_tables += 1
-        self.keys: list[tuple] = []
-        self.index: dict[tuple, int] = {}
-        self.same: dict[tuple, int | None] = {}
+        self.keys: list[bytes] = []
+        self.index: dict[bytes, int] = {}
+        self.same: dict[bytes, dict[int, int | None]] = {}
         self.stand: dict[tuple, int] = {}
-        self.next = np.full((1024, 256), -1, np.int32)
-        self.emit = np.zeros((1024, 256), np.int8)
+        self.next = np.full((1024, len(self.byte)), -1, np.int32)
+        self.emit = np.zeros((1024, len(self.byte)), np.int8)
         self.last = np.zeros(1024, np.int32)
         self._state((b"", ((-1, 0),)))
 
     def _state(self, key: tuple) -> int:
-        s = self.index.get(key)
+        packed = marshal.dumps(key, 2)  # version 2 has no references: equal keys are equal bytes
+        s = self.index.get(packed)
         if s is None:
-            s = self.index[key] = len(self.keys)
-            self.keys.append(key)
+            s = self.index[packed] = len(self.keys)
+            self.keys.append(packed)
             if s == len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
-                self.last = np.concatenate([self.last, np.zeros_like(self.last)])
+                for table in (self.next, self.emit, self.last):  # in place: a copy would hold both for a while
+                    table.resize((s + 4096, *table.shape[1:]), refcheck=False)
+                self.next[s:] = -1
             self.last[s] = key[1][-1][0]
         return s
 
+    def _columns(self, data: np.ndarray) -> np.ndarray:
+        """The table's column of each byte; bytes not seen before get one."""
+        new = np.flatnonzero((np.bincount(data, minlength=256) > 0) & (self.column < 0))
+        if len(new):
+            self.column[new] = np.arange(len(self.byte), len(self.byte) + len(new))
+            self.byte += new.tolist()
+            self.next = np.pad(self.next, ((0, 0), (0, len(new))), constant_values=-1)
+            self.emit = np.pad(self.emit, ((0, 0), (0, len(new))))
+        return self.column.astype(np.uint8)[data]
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges leave tokens a and b side by side.
 
@@ -199,9 +216,9 @@ class Merger:
 
     def _stands_for(self, last: int, begun: bytes) -> int | None:
         """A token that allows the same tokens to follow as `last` among those that go on from `begun`; None if none can."""
-        key = (last, begun)
-        if key in self.same:
-            return self.same[key]
+        known = self.same.setdefault(begun, {})
+        if last in known:
+            return known[last]
         lo = bisect_left(self.sorted, begun)
         lo += lo < len(self.sorted) and self.sorted[lo] == begun
         longer = list(takewhile(lambda t: t.startswith(begun), self.sorted[lo : lo + 41]))
@@ -210,39 +227,40 @@ class Merger:
         else:
             able = tuple(i for i in map(self.vocab.get, longer) if last < 0 or self.fits(last, i))
             found = self.stand.setdefault((begun, able), last) if able else None
-        self.same[key] = found
+        known[last] = found
         return found
 
-    def _build(self, s: int, byte: int) -> None:
-        tail, history = self.keys[s]
-        tail += bytes([byte])
+    def _build(self, s: int, column: int) -> None:
+        tail, history = marshal.loads(self.keys[s])
+        tail += bytes([self.byte[column]])
         for k in range(len(tail)):  # longest first
             token = self.vocab.get(tail[k:])
             if token is not None and history[k] and (history[k][0] < 0 or self.fits(history[k][0], token)):
                 break
         count = history[k][1] + 1
-        self.emit[s, byte] = count - history[-1][1]
+        self.emit[s, column] = count - history[-1][1]
         history = (*history, (token, count))
         n = len(tail)
         held = [token if k == n else history[k] and self._stands_for(history[k][0], tail[k:]) for k in range(n + 1)]
         k = next(k for k in range(n + 1) if held[k] is not None)
         after = self._state((tail[k:], tuple(None if held[j] is None else (held[j], history[j][1] - count) for j in range(k, n + 1))))
-        self.next[s, byte] = after
+        self.next[s, column] = after
 
     def _step(self, data: np.ndarray, keep: np.ndarray, pos: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state and byte, next state) of lanes that read the bytes at `pos`; transitions not yet known are built."""
+        """(state and column, next state) of lanes that read the columns at `pos`; transitions not yet known are built."""
+        width = len(self.byte)
         key = state & keep.take(pos, mode="clip")
-        key <<= 8
-        key |= data.take(pos, mode="clip")
+        key *= width
+        key += data.take(pos, mode="clip")
         after = self.next.ravel().take(key, mode="clip")
         if after.min() < 0:
             if len(self.keys) > self.max_states:
-                used, where = np.unique(key >> 8, return_inverse=True)
-                held = [self.keys[s] for s in used]
+                used, where = np.unique(key // width, return_inverse=True)
+                held = [marshal.loads(self.keys[s]) for s in used]
                 self._clear()
-                key = (np.array([self._state(k) for k in held])[where] << 8) | (key & 255)
-            for k in np.unique(key[self.next.ravel()[key] < 0]):
-                self._build(int(k) >> 8, int(k) & 255)
+                key = np.array([self._state(k) for k in held])[where] * width + key % width
+            for k in np.unique(key[self.next.ravel()[key] < 0]).tolist():
+                self._build(*divmod(k, width))
             after = self.next.ravel()[key]
         return key, after
 
@@ -254,6 +272,9 @@ class Merger:
         once, until it meets the states of its earlier run; the map of a chunk is known from there on. Rounds end when
         no chunk's entry has changed, most often after the first.
         """
+        return self._run(self._columns(data), starts, tokens, width, split)
+
+    def _run(self, data: np.ndarray, starts: np.ndarray, tokens: bool, width: int, split: bool) -> np.ndarray:
         out = np.zeros(len(data), np.int32 if tokens else np.int8)
         at = np.flatnonzero(starts)
         if not len(at):
@@ -269,7 +290,7 @@ class Merger:
         order = np.argsort(-size, kind="stable")
         pos, size = cuts[order], size[order]
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # lanes longer than t
-        keep = np.where(starts, 0, -1)
+        keep = np.where(starts, np.int8(0), np.int8(-1))
         state = np.zeros(len(pos), np.int64)
         made = self.made_tables
         for n in active:
@@ -300,7 +321,7 @@ class Merger:
                 pos += 1
                 going &= pos < end[lane]
                 lane, pos, state = lane[going], pos[going], after[going].astype(np.int64)
-        return self.run(data, starts, tokens, width, split=False)  # the table was flushed, and with it the states' numbers
+        return self._run(data, starts, tokens, width, split=False)  # the table was flushed, and with it the states' numbers
 
 
 _mergers: dict[str, Merger] = {}
@@ -357,7 +378,8 @@ class Tokenizer:
         data, offsets = flat_text(column)
         data, bounds, found = self._parts(data, offsets)
         change = self.merger.run(data, self._starts(data, bounds), tokens=False)
-        total = np.concatenate([[0], np.cumsum(change, dtype=np.int64)])
+        total = np.zeros(len(change) + 1, np.int64)
+        np.cumsum(change, out=total[1:])
         by_part = total[bounds[1:]] - total[bounds[:-1]]
         if not found:
             return by_part
@@ -380,9 +402,9 @@ class Tokenizer:
             at = at - self.merger.length[t]
             more = at >= begin
             at, begin = at[more], begin[more]
-        is_token = token >= 0
-        before = np.concatenate([[0], np.cumsum(is_token)])[bounds]
-        ids = token[is_token]
+        at = np.flatnonzero(token >= 0)
+        before = np.searchsorted(at, bounds)
+        ids = token[at]
         if not found:
             return ids, before
         ids = np.insert(ids, [before[part + 1] for part, _, _ in found], [i for _, _, i in found])
@@ -402,7 +424,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     def run(batches):
         tokenizer = Tokenizer(spec.value)
-        for part in text_slices(batches, 2 << 20):
+        for part in text_slices(batches, 1 << 20):
             text = part.column("text")
             n = tokenizer.counts(text)
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
